@@ -144,7 +144,7 @@ with spans as (
   select 'chunks' as table_name, entity_id, valid_from as a, valid_until as b, 0 as more from chunks
   union all select 'temporal', rule_id, applicable_from, applicable_to, 1 from temporal),
 days as (
-  select table_name, entity_id, cast(a as date) as first,
+  select distinct table_name, entity_id, cast(a as date) as first,
          case when b is null or b = '' or b = '9999-12-31' then date '9999-12-31' + 1 else cast(b as date) + more end as stop
   from (select * from spans where entity_id is not null and {_DAY.format("a")}
         and (b is null or b = '' or {_DAY.format("b")}))),
