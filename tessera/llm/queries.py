@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, names
+from . import leakage, names, packing, splitting
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,27 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return names.look_groups(names.with_form(_names(spark, d), "value").where("form != ''"))
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, d, "chunks").select("chunk_row", "chunk_id", "heading", "content"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    # A row came out in several pieces exactly if it has a piece 1.
+    return _pieces(spark, d).where("n_pieces > 1 and piece_no = 1").select("chunk_row")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -51,8 +72,14 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_names": p3_names,
     "p3_groups": p3_groups,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_report": p8_report,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p5_found": "select chunk_row from chunks where length(content) > 1200",
+}
