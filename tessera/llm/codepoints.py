@@ -15,9 +15,9 @@ import pyarrow as pa
 SIZE = 0x110000
 
 # Characters of one class, by appearance.
-HYPHENS = "-‐‑‒⁃−﹣－"
-MIDDLE_DOTS = "··‧∙⋅・･ㆍᆞ⸱ꞏ"
-WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85  "
+HYPHENS = "-\u2010\u2011\u2012\u2043\u2212\ufe63\uff0d"
+MIDDLE_DOTS = "\u00b7\u0387\u2027\u2219\u22c5\u30fb\uff65\u318d\u119e\u2e31\ua78f"
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 #: Ranges of characters that show nothing, beside the format characters (category Cf).
 UNSEEN = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164),
           (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
@@ -87,15 +87,20 @@ class Composer:
         self.special = (self.rank > 0) | jamo
 
     def __call__(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chars, keep = self.composed(chars, offsets)
+        return (chars, offsets) if keep is None else (chars[keep], np.concatenate([[0], np.cumsum(keep)])[offsets])
+
+    def composed(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Characters in their places, and which of them stay (None: all)."""
         if not self.special[chars].any():
-            return chars, offsets
+            return chars, None
         chars, keep = chars.copy(), np.ones(len(chars), dtype=bool)
         opens = np.zeros(len(chars) + 1, dtype=bool)
         opens[offsets] = True
         opens = opens[:-1]
         self._marks(chars, keep, opens)
         self._hangul(chars, keep, opens)
-        return chars[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+        return chars, keep
 
     def _marks(self, chars: np.ndarray, keep: np.ndarray, opens: np.ndarray) -> None:
         rank = self.rank[chars]

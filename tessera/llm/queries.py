@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, names, packing, splitting
+from . import language, leakage, names, packing, splitting
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +68,24 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return language.language_segments(documents, language.fit_model(documents))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    spoken = language.document_languages(_segments(spark, d))
+    return language.unlabelled_languages(table(spark, d, "documents"), spoken)
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(_segments(spark, d))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_names": p3_names,
@@ -78,6 +96,9 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
 
 SQL = {
