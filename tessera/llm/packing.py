@@ -185,28 +185,24 @@ def pack(items: DataFrame, row: str = "doc_id", size: str = "n_tokens", capacity
     first_rank = np.cumsum(span) - span
     head = np.searchsorted(length_of, length_of)
     first_rank -= first_rank[head]
+    slot = sizes * _SALTS + np.array([t[1] for t in table])
     packed = (
-        length_of, first_rank, np.array([p[2] for p in places]), np.array([p[3] for p in places], dtype=np.int64),
+        slot, before, length_of, first_rank, np.array([p[2] for p in places]),
+        np.array([p[3] for p in places], dtype=np.int64),
     )
-    offsets = {(s, salt): int(b) for (s, salt, _), b in zip(table, before, strict=True)}
-    spark = items.sparkSession
-    offset_rows = spark.createDataFrame([(*k, v) for k, v in offsets.items()], "size bigint, salt int, before bigint")
     inner = Window.partitionBy("size", "salt").orderBy(row, "part")
-    ranked = (
-        pieces.withColumn("inner", F.row_number().over(inner) - 1)
-        .join(F.broadcast(offset_rows), ["size", "salt"])
-        .select(row, "part", "size", (F.col("before") + F.col("inner")).alias("rank"))
-    )
-    shared = spark.sparkContext.broadcast(packed)
+    ranked = pieces.withColumn("inner", (F.row_number().over(inner) - 1).cast("bigint"))
+    ranked = ranked.select(row, "part", "size", (F.col("size") * _SALTS + F.col("salt")).alias("slot"), "inner")
+    shared = items.sparkSession.sparkContext.broadcast(packed)  # capacity * salts entries at most
     kind = items.schema[row].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, rank0, copies, container0 = shared.value
-        top = np.int64(rank0.max()) + 1 if len(rank0) else np.int64(1)
-        top = max(top, np.int64(1) << 40)
+        slot, before, of, rank0, copies, container0 = shared.value
+        top = np.int64(1) << 44  # more than any rank
         key = of.astype(np.int64) * top + rank0
         for batch in batches:
-            size, rank = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            size = batch.column(2).to_numpy()
+            rank = before[np.searchsorted(slot, batch.column(3).to_numpy())] + batch.column(4).to_numpy()
             k = np.searchsorted(key, size * top + rank, side="right") - 1
             container = container0[k] + (rank - rank0[k]) // copies[k]
             yield pa.RecordBatch.from_arrays(
