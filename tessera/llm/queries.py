@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, names, packing, splitting
+from . import canonical, language, leakage, names, packing, splitting
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,47 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return names.look_groups(names.with_form(_names(spark, d), "value").where("form != ''"))
 
 
+_ENTRY_FIELDS = {
+    "verified_by": ("verified_by", "verifier"),
+    "verifier_ids": ("verification.verifier_ids", "verifier"),
+    "methods": ("verification.methods", "method"),
+}
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    entities = table(spark, d, "entities")
+    entries = [
+        entities.select(
+            "entity_row",
+            F.lit(field).alias("field"),
+            F.lit(kind).alias("list_name"),
+            F.posexplode(column).alias("pos", "value"),
+        )
+        for field, (column, kind) in _ENTRY_FIELDS.items()
+    ]
+    verifiers = table(spark, d, "verifiers")
+    methods = table(spark, d, "vocab").where("field = 'verification_method'")
+    listed = [(verifiers, "verifier", "verifier_id", "verifier_id"), (verifiers, "verifier", "verifier_id", "display_name"),
+              (methods, "method", "code", "code"), (methods, "method", "code", "label")]
+    known = [
+        t.select(F.lit(kind).alias("list_name"), F.col(i).alias("canonical_id"), F.col(n).alias("name"))
+        for t, kind, i, n in listed
+    ]
+    return canonical.canonical_entries(
+        reduce(DataFrame.unionByName, entries), reduce(DataFrame.unionByName, known), "entity_row"
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(spark, d).select("entity_row", "field", "pos", "canonical_id")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that no canonical entry fits, by frequency."""
+    lone = _entries(spark, d).where(F.col("canonical_id") == canonical.UNMATCHED)
+    return lone.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks").select("chunk_row", "chunk_id", "heading", "content"))
 
@@ -90,6 +131,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_names": p3_names,
     "p3_groups": p3_groups,
+    "p4_found": p4_found,
+    "p4_unmatched": p4_unmatched,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_containers": p7_containers,
