@@ -191,6 +191,29 @@ class Model:
         return _softmax(self.scores(s) / self.temperature)
 
 
+def _all_sentences(texts: pa.Array) -> Sentences:
+    """Sentences of many texts, made slice by slice to keep the working arrays small."""
+    parts = []
+    for a, b in codepoints.slices(texts, 1 << 18):
+        s = sentences(*codepoints.decode(texts[a:b]))
+        s.row, s.grams = s.row + a, s.grams.astype(np.int32)
+        parts.append(s)
+    joined = [np.concatenate([getattr(p, n) for p in parts]) for n in ("row", "start", "stop", "letters", "grams", "count")]
+    row, start, stop, letters, grams, count = joined
+    return Sentences(row, start, stop, letters, grams, np.cumsum(count) - count, count)
+
+
+def _scores(model: Model, s: Sentences) -> np.ndarray:
+    """Scores of many sentences, in blocks."""
+    blocks = []
+    for a in range(0, len(s.first), 4096):
+        part = slice(a, a + 4096)
+        first, count = s.first[part], s.count[part]
+        grams = s.grams[first[0] : first[-1] + count[-1]]
+        blocks.append(model.scores(Sentences(s.row[part], s.start[part], s.stop[part], s.letters[part], grams, first - first[0], count)))
+    return np.concatenate(blocks)
+
+
 def train(
     texts: list[str],
     labels: list[str],
@@ -211,10 +234,9 @@ def train(
     same, however frequent.
     """
     languages = tuple(sorted(set(labels)))
-    if not languages:
+    if not languages or not any(texts):
         return None
-    chars, offsets = codepoints.decode(pa.array(texts, pa.string()))
-    s = sentences(chars, offsets)
+    s = _all_sentences(pa.array(texts, pa.string()))
     if not len(s.first):
         return None
     target = np.array([languages.index(x) for x in labels])[s.row]
@@ -222,27 +244,32 @@ def train(
     if held.all() or not held.any():
         held[:] = False
     # IDF over the sample's sentences.
-    owner = np.repeat(np.arange(len(s.first)), s.count)
-    seen = np.unique(owner << BITS | s.grams) & ((1 << BITS) - 1)
-    idf = np.log((1 + len(s.first)) / (1 + np.bincount(seen, minlength=1 << BITS)))
+    frequency = np.zeros(1 << BITS, dtype=np.int64)
+    for a in range(0, len(s.first), 4096):
+        count = s.count[a : a + 4096]
+        grams = s.grams[s.first[a] : s.first[a] + count.sum()].astype(np.int64)
+        pairs = np.unique(np.repeat(np.arange(len(count)), count) << BITS | grams)
+        frequency += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    idf = np.log((1 + len(s.first)) / (1 + frequency))
     use = ~held
     model = None
     for fit in range(2):
         model = _fit(s, target, use, idf, languages, epochs, batch, alpha, beta, l1, l2, seed)
         if fit == 0:
-            log_p = np.log(np.maximum(model.probabilities(s), 1e-9)) * s.letters[:, None]
+            chance = _softmax(_scores(model, s))
+            log_p = np.log(np.maximum(chance, 1e-9)) * s.letters[:, None]
             text = np.zeros((len(texts), len(languages)))
             np.add.at(text, s.row, log_p)
             size = np.maximum(np.bincount(s.row, weights=s.letters, minlength=len(texts)), 1)
             p = _softmax(text / size[:, None])
-            own = model.probabilities(s)[np.arange(len(target)), target]
+            own = chance[np.arange(len(target)), target]
             right = (p[s.row, target] >= 0.1) & (own >= 0.1)
             if np.isin(np.arange(len(languages)), target[use & right]).all():
                 use &= right
                 held &= right
     check = held if held.any() else use
     part = np.flatnonzero(check)
-    z, y = model.scores(s)[part], target[part]
+    z, y = _scores(model, s)[part], target[part]
     choices = np.geomspace(0.02, 5, 60)
     loss = [-np.log(np.maximum(_softmax(z / c)[np.arange(len(y)), y], 1e-12)).mean() for c in choices]
     model.temperature = float(choices[int(np.argmin(loss))])
