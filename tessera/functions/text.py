@@ -58,7 +58,7 @@ def wiki_targets(x: Column | str) -> Column:
     """Link targets of an array of texts, in order; a text without a link is itself one unless a URL."""
 
     def one(v: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(v, F.lit(_WIKILINK), F.lit(1)), F.trim)
+        found = F.transform(F.regexp_extract_all(v, F.lit(_WIKILINK), F.lit(1)), lambda v: F.trim(v))
         own = F.when(v.rlike(r"(?i)^https?://"), F.array().cast("array<string>")).otherwise(F.array(v))
         return F.when(F.size(found) > 0, found).otherwise(own)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.norm import basename, normalized_ref, text_list
-from ..session import lookup_join
+from ..session import cut_lineage, lookup_join
 
 
 def name_table(records: DataFrame, entity: str, singles: list[str], lists: list[str]) -> DataFrame:
@@ -75,13 +75,14 @@ def alias_closure(links: DataFrame, spark: SparkSession, max_depth: int = 64) ->
     """
     links = links.where("alias is not null and trim(alias) != '' and target is not null")
     now = links.groupBy("alias").agg(F.min("target").alias("target")).withColumn("depth", F.lit(1).cast("bigint"))
-    step = 1
+    now, step = cut_lineage(now), 1
     while step < max_depth:
         ahead = now.select(F.col("alias").alias("target"), F.col("target").alias("__next"), F.col("depth").alias("__d"))
-        now = lookup_join(now, ahead, ["target"], ["alias"], "left").select(
+        joined = lookup_join(now, ahead, ["target"], ["alias"], "left").select(
             "alias", F.coalesce("__next", "target").alias("target"),
             (F.col("depth") + F.coalesce("__d", F.lit(0).cast("bigint"))).alias("depth"),
         )
+        now = cut_lineage(joined)  # a step uses the one before it several times
         step *= 2
     return now.withColumn("is_cycle", F.col("depth") >= max_depth)
 
@@ -108,8 +109,6 @@ def numbered(df: DataFrame, group: str, order: list, name: str = "number") -> Da
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     placed = df.repartitionByRange(F.col(group), *order).withColumn("__part", F.spark_partition_id())
-    from ..session import cut_lineage
-
     placed = cut_lineage(placed)  # the partitions must be the same for both uses
     sizes = placed.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
     ahead = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

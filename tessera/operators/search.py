@@ -186,8 +186,14 @@ def _near(tokens: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
     return F.exists(anchors, fits)
 
 
+def tokenised(df: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with a token array per field, made once per row, and those columns by field."""
+    names = {f: f"__t_{k}" for k, f in enumerate(fields)}
+    return df.select("*", *[search_tokens(f).alias(n) for f, n in names.items()]), {f: F.col(n) for f, n in names.items()}
+
+
 def matches(tree: tuple, fields: dict[str, Column]) -> Column:
-    """Whether a row matches a parsed query; ``fields``: token arrays by name."""
+    """Whether a row matches a parsed query; ``fields``: token arrays by name (see :func:`tokenised`)."""
     kind = tree[0]
     if kind == "phrase":
         phrase = tree[1]
@@ -217,9 +223,7 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], score: str = "ran
     """
     tree = parse_match(query)
     phrases = list(dict.fromkeys(phrases_of(tree)))
-    names = {f: f"__t_{k}" for k, f in enumerate(weights)}
-    tokens = df.select("*", *[search_tokens(f).alias(n) for f, n in names.items()])
-    fields = {f: F.col(n) for f, n in names.items()}
+    tokens, fields = tokenised(df, list(weights))
     size = reduce(lambda a, b: a + b, [F.size(t) for t in fields.values()])
 
     def hits(p: Phrase) -> list[tuple[float, Column]]:
@@ -237,7 +241,7 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], score: str = "ran
         idf = max(LEAST_IDF, math.log((total - n + 0.5) / (n + 0.5)))
         f = reduce(lambda a, b: a + b, [F.lit(w) * h for w, h in hits(p)])
         rank = rank + F.lit(idf) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * size / mean))
-    return tokens.where(matches(tree, fields)).withColumn(score, -rank).drop(*names.values())
+    return tokens.where(matches(tree, fields)).withColumn(score, -rank).select(*df.columns, score)
 
 
 def top_ranked(df: DataFrame, k: int, order: list) -> DataFrame:

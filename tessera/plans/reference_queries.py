@@ -462,11 +462,10 @@ def search_filtered(spark, d):
 
 def match_language(spark, d):
     """Rows per query of the match language: AND, OR, NOT, phrase, prefix, field, NEAR."""
-    chunks = table(spark, d, "chunks")
-    fields = {f: text.search_tokens(f) for f in _WEIGHTS}
+    chunks, fields = search.tokenised(table(spark, d, "chunks").select(*_WEIGHTS), list(_WEIGHTS))
     queries = {
-        "and": "야간근로수당 별지", "not": "별지 NOT 통신보조비", "phrase": '"근로자 명이"', "prefix": "야간*",
-        "field": "heading: 근거자료", "near": "NEAR(지급 내역, 2)", "group": "(standby OR meal) AND employer",
+        "and": "야간근로수당 별지", "not": "별지 NOT 통신보조비", "phrase": '"지급 내역은"', "prefix": "야간*",
+        "field": "heading: 근거자료", "near": "NEAR(내역은 표와, 4)", "group": "(standby OR meal) AND employer",
     }
     counts = [F.count_if(search.matches(search.parse_match(q), fields)).alias(n) for n, q in queries.items()]
     return chunks.agg(*counts)

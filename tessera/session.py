@@ -69,7 +69,7 @@ def lookup_join(
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's upper estimate of the size of a plan's result."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:

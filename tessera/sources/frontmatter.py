@@ -241,14 +241,20 @@ def dump_header(data: dict) -> str:
     return "".join(f"{line}\n" for line in _mapping_lines(data, 0))
 
 
+def _quoted(text: str) -> str:
+    """Double-quoted text on one line."""
+    line_ends = {c: f"\\u{ord(c):04x}" for c in "\x85\u2028\u2029"}
+    return json.dumps(text, ensure_ascii=False).translate(str.maketrans(line_ends))
+
+
 def _scalar_text(value) -> str:
     if value is None or isinstance(value, bool):
         return {None: "null", True: "true", False: "false"}[value]
-    return str(value) if isinstance(value, (int, float)) else json.dumps(str(value), ensure_ascii=False)
+    return str(value) if isinstance(value, (int, float)) else _quoted(str(value))
 
 
 def _key_lines(key: str, value, pad: str, deeper: int) -> Iterator[str]:
-    key = key if re.fullmatch(r"[\w가-힣][\w가-힣 -]*", key) and isinstance(scalar(key), str) else json.dumps(key, ensure_ascii=False)
+    key = key if re.fullmatch(r"[\w가-힣][\w가-힣 -]*", key) and isinstance(scalar(key), str) else _quoted(key)
     if isinstance(value, dict) and value:
         yield f"{pad}{key}:"
         yield from _mapping_lines(value, deeper)
