@@ -92,7 +92,7 @@ def sentences(chars: np.ndarray, offsets: np.ndarray) -> Sentences:
     place = np.arange(len(chars))
     if not shown.all():
         chars, rows, place = chars[shown], rows[shown], place[shown]
-    if not len(chars):
+    if not t["code"][chars].any():
         none = np.zeros(0, np.int64)
         return Sentences(none, none, none, none, none, none, none)
     ends, code = t["ends"][chars], t["code"][chars]

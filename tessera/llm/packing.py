@@ -4,8 +4,8 @@ The histogram of item lengths has at most ``capacity`` entries.  Over it the
 configuration linear program (which patterns of lengths, how often each) is
 solved by multiplicative weights: every round prices the best pattern by
 knapsack dynamic programming over the current weights, and lengths that are
-covered too often lose weight.  The fractional counts are rounded down, what
-is left is packed by the longest fitting length, and the items take the
+covered too often lose weight.  The fractional counts are rounded, what is
+left is packed by the longest fitting length, and the items take the
 resulting places by their rank within their length.  Only the histogram and
 the patterns are on the driver; the items never leave the executors.
 """
@@ -115,34 +115,53 @@ def fractional_patterns(
     return [(dict(k), x) for k, x in used.items()]
 
 
-def integral_patterns(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120
-) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length index: copies) and whole counts that hold every item exactly once."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[dict[int, int], int]] = []
-
-    def use(pattern: dict[int, int], times: int) -> None:
-        if times > 0:
-            out.append((pattern, times))
-            for k, n in pattern.items():
-                left[k] -= n * times
-
-    for pattern, x in fractional_patterns(lengths, counts, capacity, rounds):
-        use(pattern, min(int(x + 1e-9), *(int(left[k]) // n for k, n in pattern.items())))
-    while left.any():  # the longest that still fits, again and again; a pattern is used while its items last
+def _longest_first(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns filled with the longest that still fits, each used while its items last; ``left`` becomes 0."""
+    out = []
+    while left.any():
         room, pattern = capacity, {}
-        for k in np.flatnonzero(left)[::-1]:
+        open_ = np.flatnonzero(left)
+        while len(open_) and room >= lengths[open_[0]]:
+            open_ = open_[: np.searchsorted(lengths[open_], room, side="right")]
+            k = int(open_[-1])
             n = min(int(left[k]), room // int(lengths[k]))
-            if n:
-                pattern[int(k)] = n
-                room -= n * int(lengths[k])
-            if room < lengths[0]:
-                break
-        use(pattern, min(int(left[k]) // n for k, n in pattern.items()))
+            pattern[k] = n
+            room -= n * int(lengths[k])
+            open_ = open_[:-1]
+        times = min(int(left[k]) // n for k, n in pattern.items())
+        out.append((pattern, times))
+        for k, n in pattern.items():
+            left[k] -= n * times
     return out
 
 
+def integral_patterns(
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120
+) -> list[tuple[dict[int, int], int]]:
+    """Patterns (length index: copies) and whole counts that hold every item exactly once.
+
+    The fractional counts, or a part of them, are rounded down and what they
+    leave is packed longest first; of the parts tried the one with the fewest
+    containers is taken, so it is never worse than longest first alone.
+    """
+    fractional = fractional_patterns(lengths, counts, capacity, rounds)
+    best: list[tuple[dict[int, int], int]] = []
+    for part in (1.0, 0.95, 0.8, 0.5, 0.0):
+        left, out = counts.astype(np.int64).copy(), []
+        for pattern, x in fractional:
+            times = min(int(x * part + 1e-9), *(int(left[k]) // n for k, n in pattern.items()))
+            if times > 0:
+                out.append((pattern, times))
+                for k, n in pattern.items():
+                    left[k] -= n * times
+        out += _longest_first(lengths, left, capacity)
+        if not best or sum(t for _, t in out) < sum(t for _, t in best):
+            best = out
+        if sum(t for _, t in best) == -(-int((lengths * counts).sum()) // capacity):
+            break  # no packing has fewer
+    return best
+
+
 def pack(items: DataFrame, row: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:
     """row, part, size, container: every item in a container of ``capacity``.
 
