@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.norm import day_number, end_day
-from ..session import lookup_join
+from ..session import cut_lineage, lookup_join
 
 
 def attribute_history(
@@ -114,6 +114,7 @@ def as_known(
     ``keep``; others are ignored.  Events without any match are left out.
     """
     keep = keep or []
+    events = cut_lineage(events.select(event_row, "entity_id", "day", *keep))  # used several times below
     matched = last_known(events, history)
     wide = matched.groupBy("entity_id", "day").agg(
         *[
@@ -125,8 +126,7 @@ def as_known(
             )
         ]
     )
-    left = events.select(event_row, "entity_id", "day", *keep)
-    return lookup_join(left, wide, ["entity_id", "day"], [event_row])
+    return lookup_join(events, wide, ["entity_id", "day"], [event_row])
 
 
 def required_entities(qa: DataFrame, targets: DataFrame, id_arrays: list[str], as_of: str = "as_of") -> DataFrame:
