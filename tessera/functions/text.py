@@ -98,12 +98,21 @@ def accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-def search_tokens(x: Column | str) -> Column:
-    """Index terms: lower case, accents of Latin letters removed, letters and digits only; null gives none."""
+def search_hay(x: Column | str) -> Column:
+    """Index terms of a text, each between blanks, two blanks apart; null gives none.
+
+    Lower case, accents of Latin letters removed, letters and digits only.
+    """
     accented, base = accents()
-    c = F.regexp_replace(F.lower(F.coalesce(col(x), F.lit(""))), r"\p{Mn}+", "")
-    c = F.translate(c, accented, base)
-    return F.filter(F.split(c, r"[^\p{L}\p{N}\p{Co}]+"), lambda t: t != "")
+    c = F.lower(F.coalesce(col(x), F.lit("")))
+    marked = F.translate(F.regexp_replace(c, r"\p{Mn}+", ""), accented, base)
+    c = F.when(c.rlike(r"[\u00C0-\u024F\u1E00-\u1EFF]|\p{Mn}"), marked).otherwise(c)
+    return F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), r"[^\p{L}\p{N}\p{Co}]+", "  ")
+
+
+def search_tokens(x: Column | str) -> Column:
+    """Index terms of a text in order."""
+    return F.filter(F.split(search_hay(x), "  "), lambda t: t != "")
 
 
 def support_labels(x: Column | str, groups: dict[str, tuple[str, ...]], default: str) -> Column:

@@ -1,7 +1,7 @@
 """Text search: index tables, a match language, BM25, additive scores, paging.
 
 One scan computes the corpus statistics of the query's terms (a single row),
-one scan scores; term counts are column expressions over the token arrays, so
+one scan scores; terms are counted by string expressions on the folded text, so
 nothing but the scored rows is shuffled.
 """
 
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens
+from ..functions.text import search_hay, search_tokens
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -28,9 +28,18 @@ def postings(df: DataFrame, row: str, fields: list[str]) -> DataFrame:
     return tokens.groupBy("term", row, "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _occurrences(hay: Column, needle: str) -> Column:
+    return ((F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+
+
+def token_count(hay: Column) -> Column:
+    """Terms in a folded text (see ``search_hay``): one gap less than it has gaps."""
+    return _occurrences(hay, "  ") - 1
+
+
 def document_stats(df: DataFrame, row: str, fields: list[str]) -> DataFrame:
     """row, n_tokens over all indexed fields."""
-    return df.select(row, reduce(lambda a, b: a + b, [F.size(search_tokens(f)) for f in fields]).alias("n_tokens"))
+    return df.select(row, reduce(lambda a, b: a + b, [token_count(search_hay(f)) for f in fields]).alias("n_tokens"))
 
 
 @dataclass(frozen=True)
@@ -138,62 +147,54 @@ def _terms(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", folded) if t]
 
 
-def _hay(tokens: Column) -> Column:
-    return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
-
-
-def phrase_count(tokens: Column, phrase: Phrase) -> Column:
-    """How often a phrase stands in a token array."""
+def phrase_count(hay: Column, phrase: Phrase) -> Column:
+    """How often a phrase stands in a folded text."""
     if not phrase.terms:
         return F.lit(0)
-    if len(phrase.terms) == 1 and not phrase.first:
-        term = phrase.terms[0]
-        same = (lambda t: F.startswith(t, F.lit(term))) if phrase.prefix else (lambda t: t == term)
-        return F.size(F.filter(tokens, same))
     needle = " " + "  ".join(phrase.terms) + ("" if phrase.prefix else " ")
-    if phrase.first:
-        return F.startswith(_hay(tokens), F.lit(needle)).cast("int")
-    hay = _hay(tokens)
-    return ((F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+    return F.startswith(hay, F.lit(" " + needle)).cast("int") if phrase.first else _occurrences(hay, needle)
+
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where ``use`` names it within a lambda."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
-def _near(tokens: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
+
+def _near(hay: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
     """Whether the phrases stand with at most ``distance`` tokens between the first and the last of them.
 
-    Candidate spans begin or end at an occurrence of one phrase; each phrase
-    must start within the span.
+    A span begins at an occurrence of one phrase; each phrase must lie within it.
     """
-    size = F.size(tokens)
+    sizes = [len(p.terms) for p in phrases]
+    reach = sum(sizes) + distance
 
-    def starts(p: Phrase) -> Column:
+    def starts(tokens: Column, p: Phrase) -> Column:
         n = len(p.terms)
         hit = lambda i: F.slice(tokens, i + 1, n) == F.array(*map(F.lit, p.terms))
-        return F.when(size >= n, F.filter(F.sequence(F.lit(0), size - n), hit)).otherwise(F.array().cast("array<int>"))
-
-    at = [starts(p) for p in phrases]
-    total = sum(len(p.terms) for p in phrases)
-    anchors = F.flatten(F.array(*at))
-    ends = [len(p.terms) for p in phrases]
-
-    def fits(a: Column) -> Column:
-        limit = a + total + distance
+        places = F.filter(F.sequence(F.lit(0), F.size(tokens) - n), hit)
+        return F.when(F.size(tokens) >= n, places).otherwise(F.array().cast("array<int>"))
 
-        def within(places: Column, n: int) -> Column:
-            return F.exists(places, lambda s: (s >= a) & (s + n <= limit))
+    def inside(places: Column, a: Column, n: int) -> Column:
+        return F.exists(places, lambda s: (s >= a) & (s + n <= a + reach))
 
-        return reduce(lambda x, y: x & y, [within(p, n) for p, n in zip(at, ends, strict=True)])
+    def together(at: Column) -> Column:
+        every = lambda a: reduce(lambda x, y: x & y, [inside(at[k], a, n) for k, n in enumerate(sizes)])
+        return F.exists(F.flatten(at), every)
 
-    return F.exists(anchors, fits)
+    # Only texts with all phrases are looked at token by token.
+    some = reduce(lambda x, y: x & y, [phrase_count(hay, p) > 0 for p in phrases])
+    spans = _let(F.split(F.trim(hay), "  "), lambda t: _let(F.array(*[starts(t, p) for p in phrases]), together))
+    return F.when(some, spans).otherwise(F.lit(False))
 
 
 def tokenised(df: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """``df`` with a token array per field, made once per row, and those columns by field."""
+    """``df`` with a folded text per field, made once per row, and those columns by field."""
     names = {f: f"__t_{k}" for k, f in enumerate(fields)}
-    return df.select("*", *[search_tokens(f).alias(n) for f, n in names.items()]), {f: F.col(n) for f, n in names.items()}
+    return df.select("*", *[search_hay(f).alias(n) for f, n in names.items()]), {f: F.col(n) for f, n in names.items()}
 
 
 def matches(tree: tuple, fields: dict[str, Column]) -> Column:
-    """Whether a row matches a parsed query; ``fields``: token arrays by name (see :func:`tokenised`)."""
+    """Whether a row matches a parsed query; ``fields``: folded texts by name (see :func:`tokenised`)."""
     kind = tree[0]
     if kind == "phrase":
         phrase = tree[1]
@@ -224,7 +225,7 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], score: str = "ran
     tree = parse_match(query)
     phrases = list(dict.fromkeys(phrases_of(tree)))
     tokens, fields = tokenised(df, list(weights))
-    size = reduce(lambda a, b: a + b, [F.size(t) for t in fields.values()])
+    size = reduce(lambda a, b: a + b, [token_count(t) for t in fields.values()])
 
     def hits(p: Phrase) -> list[tuple[float, Column]]:
         return [(weights[f], phrase_count(t, p)) for f, t in fields.items() if p.field in (None, f)]

@@ -11,7 +11,7 @@ from ..functions import markup, text
 from ..functions.norm import claim_node, reference_key, scalar_text, source_node, strict_date
 from ..operators import graph, quality, resolve, search, temporal, view
 from ..operators.hanging import entity_targets
-from ..session import lookup_join, table
+from ..session import cut_lineage, lookup_join, table
 from ..sources import frontmatter
 
 DAY = "2024-06-30"
@@ -140,7 +140,7 @@ def _names(spark, d) -> DataFrame:
 
 
 def _resolved(spark, d) -> DataFrame:
-    relations = table(spark, d, "relations").select("relation_row", "entity_id", "relation_type", "ordinal", "target_id")
+    relations = table(spark, d, "relations").select("relation_row", "entity_id", "relation_type", "target_id")
     return resolve.resolve(relations, _names(spark, d), "target_id", ["relation_row"])
 
 
@@ -323,7 +323,7 @@ def graph_nodes(spark, d):
 
 
 def _edge_rows(spark, d) -> DataFrame:
-    relations = _resolved(spark, d).select(
+    relations = cut_lineage(_resolved(spark, d)).select(  # several uses follow
         F.col("entity_id").alias("source"), F.col("relation_type").alias("relation"),
         F.coalesce("resolved_id", F.trim("target_id")).alias("target"), F.lit("relations").alias("origin"),
         F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("evidence_ref"),

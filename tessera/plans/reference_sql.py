@@ -133,7 +133,32 @@ def _first(wanted: str) -> str:
     where source <> target and target in (select id from flat where entity_type = '{wanted}')) group by source)"""
 
 
+def _hay(x: str) -> str:
+    return f"'  ' || array_to_string({_tokens(x)}, '  ') || '  '"
+
+
 SQL = {
+    "match_language": f"""with h as (select {_hay("title")} as a, {_hay("heading")} as b, {_hay("content")} as c from chunks),
+       t as (select *, a || '|' || b || '|' || c as x from h)
+       select count(*) filter (contains(x, ' 야간근로수당 ') and contains(x, ' 별지 ')) as "and",
+         count(*) filter (contains(x, ' 별지 ') and not contains(x, ' 통신보조비 ')) as "not",
+         count(*) filter (contains(x, ' 지급  내역은 ')) as phrase, count(*) filter (contains(x, ' 야간')) as prefix,
+         count(*) filter (contains(b, ' 근거자료 ')) as field,
+         count(*) filter (regexp_matches(x, ' 내역은 ( [^ |]+ ){{0,4}} 표와 | 표와 ( [^ |]+ ){{0,4}} 내역은 ')) as near,
+         count(*) filter ((contains(x, ' standby ') or contains(x, ' meal ')) and contains(x, ' employer ')) as "group" from t""",
+    "record_slugs": rf"""{_L} select id, case when s <> '' then s || '-' else '' end || left(sha256(id), 8) as slug,
+       replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as safe_title
+       from (select id, title, regexp_replace(left(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 48), '^-+|-+$', '', 'g') as s from flat)""",
+    "record_search_text": f"""{_L}, parts as (select f.id, list_filter([trim(f.id), f.title, trim(f.entity_type), f.status, f.legal_status,
+         trim(array_to_string(list_transform(list_filter(coalesce(l.aliases, []), lambda x: x is not null and trim(x) <> ''), lambda x: trim(x)), ' '))],
+         lambda x: x is not null and x <> '') as p, l.aliases from flat f join latest l on l.id = f.id)
+       select id, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ' ') as search_text from parts where id is not null""",
+    "claim_plan": r"""with marks as (select entity_id, regexp_extract(line, '(?:^|[\t-\r ])\^([a-z][a-z0-9-]{0,63})[\t-\r ]*$', 1) as claim_id from (
+         select entity_id, unnest(string_split_regex(content, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]')) as line from chunks where content is not null)),
+       single as (select entity_id, claim_id from marks where claim_id <> '' group by 1, 2 having count(*) = 1),
+       claims as (select entity_id, claim_id, count(distinct evidence_id) as n_evidence from (
+         select entity_id, evidence_id, unnest(supports) as claim_id from evidence) where trim(claim_id) <> '' group by 1, 2)
+       select c.entity_id, c.claim_id, c.n_evidence, s.claim_id is not null as resolved from claims c left join single s using (entity_id, claim_id)""",
     "flat_view": f"""{_L} select entity_row, id, entity_type, title, status, ingestion_status, last_updated, review_cycle, last_checked,
        legal_status, effective_from, effective_to, superseded_by, last_verified, authority_level from flat""",
     "status_facets": f"{_L} select entity_type, status, legal_status, count(*) as n_rows from flat group by all",

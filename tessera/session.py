@@ -30,6 +30,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_BYTES = 4 << 20
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -37,6 +40,7 @@ def lookup_join(
     spread: list[str],
     how: str = "inner",
     hot_rows: int = 200_000,
+    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Join many ``left`` rows to at most one ``right`` row per key, hot keys split.
 
@@ -44,8 +48,12 @@ def lookup_join(
     aggregation), spread over ``ceil(rows / hot_rows)`` salts by a hash of the
     ``spread`` columns, and their single right row is repeated per salt.  The
     broadcast list of hot keys has at most ``rows / hot_rows`` entries.
-    Null keys match nothing; ``how`` is inner, left or left_anti.
+    Null keys match nothing; ``how`` is inner, left or left_anti.  A left side
+    that Catalyst estimates below ``SMALL_BYTES`` has no key worth splitting
+    and is joined as it is.
     """
+    if estimated_bytes(left) < small_bytes:
+        return left.join(right, on, how)
     hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__n"))

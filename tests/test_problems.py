@@ -117,7 +117,7 @@ def test_last_known_against_brute_force(spark):
 def test_lookup_join_splits_hot_keys(spark):
     left = spark.range(1000).selectExpr("id", "if(id < 700, 'hot', concat('k', id)) as k")
     right = spark.createDataFrame([("hot", 1), ("k800", 2)], "k string, v int")
-    for hot in (10, 10_000):
-        assert lookup_join(left, right, ["k"], ["id"], "inner", hot).count() == 701
-        assert lookup_join(left, right, ["k"], ["id"], "left", hot).count() == 1000
-        assert lookup_join(left, right, ["k"], ["id"], "left_anti", hot).count() == 299
+    for hot, small in ((10, 0), (10_000, 0), (10, 1 << 30)):
+        assert lookup_join(left, right, ["k"], ["id"], "inner", hot, small).count() == 701
+        assert lookup_join(left, right, ["k"], ["id"], "left", hot, small).count() == 1000
+        assert lookup_join(left, right, ["k"], ["id"], "left_anti", hot, small).count() == 299
