@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, text
 from ..functions.norm import claim_node, reference_key, scalar_text, source_node, strict_date
-from ..operators import graph, quality, resolve, search, temporal, view
+from ..operators import graph, quality, record_rules, resolve, rewrite, search, temporal, view
 from ..operators.hanging import entity_targets
 from ..session import cut_lineage, lookup_join, table
 from ..sources import frontmatter
@@ -578,6 +578,67 @@ def frontmatter_roundtrip(spark, d):
     return parsed.select("entity_row", F.coalesce(same, F.lit(False)).alias("same"), F.coalesce("error", F.lit("")).alias("error"))
 
 
+# --- rule families ------------------------------------------------------------------------
+
+
+def evidence_rules(spark, d):
+    return record_rules.evidence_rules(table(spark, d, "evidence"), table(spark, d, "sources"))
+
+
+def relation_rules(spark, d):
+    return record_rules.relation_rules(table(spark, d, "relations"), _targets(spark, d), table(spark, d, "vocab"))
+
+
+def source_rules(spark, d):
+    return record_rules.source_rules(table(spark, d, "sources"), table(spark, d, "vocab"))
+
+
+def qa_rules(spark, d):
+    types = table(spark, d, "entities").groupBy(F.col("id").alias("entity_id")).agg(F.max("entity_type").alias("entity_type"))
+    targets = lookup_join(_targets(spark, d).select("key", "entity_id"), types, ["entity_id"], ["key"])
+    return record_rules.qa_rules(table(spark, d, "qa_regression"), targets)
+
+
+def identity_rules(spark, d):
+    return record_rules.identity_rules(table(spark, d, "entities"), table(spark, d, "id_aliases"))
+
+
+def temporal_rules(spark, d):
+    return record_rules.temporal_rules(table(spark, d, "chunks"), table(spark, d, "temporal"))
+
+
+def verification_rules(spark, d):
+    return record_rules.verification_rules(table(spark, d, "entities"), table(spark, d, "verifiers"), table(spark, d, "vocab"))
+
+
+def rule_summary(spark, d):
+    """Issues of all families by code and severity."""
+    families = (evidence_rules, relation_rules, source_rules, qa_rules, identity_rules, temporal_rules, verification_rules)
+    every = quality.union_issues([f(spark, d) for f in families])
+    return every.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n_issues"))
+
+
+# --- rewrites -------------------------------------------------------------------------------
+
+
+def rewrite_changes(spark, d):
+    """What bringing records into the nested form changes in them: per part the number of records."""
+    e = view.latest_records(table(spark, d, "entities"))
+    old = e.select(
+        "id", "schema_version", "aliases", "id_aliases",
+        F.struct("workflow.editorial_status", "workflow.ingestion_status", "workflow.updated_on",
+                 F.struct("workflow.review.cycle", "workflow.review.checked_on").alias("review")).alias("workflow"),
+        F.struct("legal.status", "legal.as_of", "legal.validity", "legal.superseded_by", "legal.superseded_on").alias("legal"),
+    )
+    new = rewrite.nested_records(view.flat_records(e))
+    found = rewrite.change_report(old, new, "id", ["schema_version", "aliases", "id_aliases", "workflow", "legal"])
+    return found.select(F.explode("changed").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def source_locations(spark, d):
+    return rewrite.located_sources(table(spark, d, "sources"), strict=False).select("source_row", "location.kind", "location.value")
+
+
 def event_actions(spark, d):
     """Log actions per day."""
     return table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(
@@ -597,5 +658,7 @@ QUERIES = {
         section_list, heading_sections, summaries, plain_text, heading_anchors, term_postings, bm25_topk, search_filtered,
         match_language, snippets, additive_relevance, recent_documents, source_labels, content_manifest, manifest_diff,
         set_digests, baseline_verdicts, issue_report, severity_gate, migration_plan, frontmatter_roundtrip, event_actions,
+        evidence_rules, relation_rules, source_rules, qa_rules, identity_rules, temporal_rules, verification_rules,
+        rule_summary, rewrite_changes, source_locations,
     )
 }

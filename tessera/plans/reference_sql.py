@@ -137,7 +137,158 @@ def _hay(x: str) -> str:
     return f"'  ' || array_to_string({_tokens(x)}, '  ') || '  '"
 
 
+def _e(c: str) -> str:
+    return f"coalesce(trim({c}), '') = ''"
+
+
+def _bad(c: str) -> str:
+    return f"coalesce(trim({c}), '') <> '' and {_date(c)} is null"
+
+
+def _none(c: str) -> str:
+    return f"coalesce(len({c}), 0) = 0"
+
+
+def _blank(c: str) -> str:
+    return f"len(list_filter({c}, lambda x: x is null or trim(x) = '')) > 0"
+
+
+def _rep(c: str) -> str:
+    some_null = f"(case when list_count({c}) < len({c}) then 1 else 0 end)"
+    return f"len(list_distinct({c})) + {some_null} < len({c})"
+
+
+def _rows(name: str, row: str, rules: list[tuple[str, str, str, str, str]]) -> str:
+    """Union of row rules: severity, code, field, condition, message expression."""
+    return " union all ".join(
+        f"select '{s}' as severity, '{c}' as code, '{name}/' || {row} as path, '{f}' as field, coalesce(cast({m} as varchar), '') as message from {t} where {w}"
+        for s, c, f, w, m, t in ((*r, {"qa": "qa_regression"}.get(name, name)) for r in rules)
+    )
+
+
+def _lost(name: str, row: str, column: str, keys: str, severity: str, code: str) -> str:
+    return f"""select '{severity}', '{code}', '{name}/' || {row}, '{column}', {column} from {name}
+      where coalesce({_KEY.format(column)}, '') <> '' and {_KEY.format(column)} not in ({keys})"""
+
+
+def _again(table: str, name: str, row: str, keys: str, field: str, severity: str, code: str, where: str = "true") -> str:
+    return f"""select '{severity}', '{code}', '{name}/' || {row}, '{field}', coalesce(cast({field} as varchar), '') from (
+      select *, rank() over (partition by {keys} order by {row}) as place from {table} where {where}) where place > 1"""
+
+
+def _vocab(name: str, row: str, column: str, field: str, severity: str, code: str) -> str:
+    return f"""select '{severity}', '{code}', '{name}/' || {row}, '{column}', {column} from {name}
+      where trim(coalesce({column}, '')) <> '' and {column} not in (select code from vocab where field = '{field}')"""
+
+
+_IDS = ("required_authority_ids", "required_rule_ids")
+_P, _U = "coalesce(trim(location.path), '')", "coalesce(trim(location.url), '')"
+_FAMILIES = {
+    "evidence_rules": " union all ".join([
+        _rows("evidence", "evidence_row", [
+            ("high", "EVIDENCE_ID", "evidence_id", _e("evidence_id"), "'no id'"),
+            ("high", "EVIDENCE_SOURCE", "source_id", _e("source_id"), "'no source'"),
+            ("high", "EVIDENCE_LOCATOR", "locator", _e("locator"), "'no locator'"),
+            ("high", "EVIDENCE_SUPPORTS", "supports", f"({_none('supports')} or {_blank('supports')})", "'no claim'"),
+            ("high", "EVIDENCE_SUPPORTS_DUPLICATE", "supports", _rep("supports"), "'repeated claim'"),
+            ("high", "DATE_INVALID", "verified_on", _bad("verified_on"), "verified_on"),
+        ]),
+        _lost("evidence", "evidence_row", "source_id", f"select {_KEY.format('source_id')} from sources where source_id is not null", "high", "EVIDENCE_SOURCE_UNKNOWN"),
+        _again("evidence", "evidence", "evidence_row", "entity_id, evidence_id", "evidence_id", "high", "EVIDENCE_ID_DUPLICATE", "trim(coalesce(evidence_id, '')) <> ''"),
+    ]),
+    "relation_rules": f"with {_TARGETS.strip()} " + " union all ".join([
+        _rows("relations", "relation_row", [
+            ("high", "RELATION_TARGET", "target_id", _e("target_id"), "'no target'"),
+            ("high", "DATE_INVALID", "effective_on", _bad("effective_on"), "effective_on"),
+        ]),
+        _again("relations", "relations", "relation_row", f"entity_id, relation_type, {_KEY.format('target_id')}", "target_id", "medium", "RELATION_DUPLICATE", f"{_KEY.format('target_id')} <> ''"),
+        _lost("relations", "relation_row", "target_id", "select key from names", "critical", "RELATION_TARGET_BROKEN"),
+        _vocab("relations", "relation_row", "relation_type", "relation_type", "high", "VOCAB_RELATION"),
+    ]),
+    "source_rules": " union all ".join([
+        _rows("sources", "source_row", [
+            ("high", "SOURCE_ID_FORMAT", "source_id", "not coalesce(regexp_full_match(source_id, '[a-z0-9][a-z0-9-]*'), false)", "source_id"),
+            *[("high", "SOURCE_FIELD", f, _e(f), "'no value'") for f in ("title", "publisher", "source_type", "jurisdiction")],
+            ("high", "SOURCE_AUTHORITY_LEVEL", "authority_level", "coalesce(authority_level not between 1 and 7, true)", "authority_level"),
+            ("high", "SOURCE_LOCATION", "location", f"({_P} <> '') = ({_U} <> '')", "'exactly one of path and url'"),
+            ("critical", "SOURCE_PATH_ESCAPE", "location", f"(regexp_matches({_P}, '(^|/)\\.\\.(/|$)') or starts_with({_P}, '/'))", _P),
+            ("high", "SOURCE_URL_INVALID", "location", f"{_U} <> '' and not regexp_matches({_U}, '^https?://[^/\\s]+')", _U),
+        ]),
+        _vocab("sources", "source_row", "source_type", "source_type", "high", "SOURCE_TYPE"),
+        _again("sources", "sources", "source_row", "source_id", "source_id", "critical", "SOURCE_ID_DUPLICATE"),
+        f"""select 'critical', 'SOURCE_PATH_DUPLICATE', 'sources/' || source_row, 'location', {_P} from sources where {_P} in (
+          select {_P} from sources where {_P} <> '' group by 1 having count(distinct source_id) > 1)""",
+    ]),
+    "qa_rules": f"with {_TARGETS.strip()}, types as (select id, max(entity_type) as entity_type from entities group by 1), each as ("
+        + " union all ".join(f"select qa_row, '{f}' as field, unnest({f}) as ref from qa_regression" for f in _IDS)
+        + f"""), found as (select e.*, t.entity_type, case when t.entity_type is null and field = '{_IDS[0]}' then 'QA_UNKNOWN_AUTHORITY_ID'
+             when t.entity_type is null then 'QA_UNKNOWN_RULE_ID' when field = '{_IDS[1]}' and t.entity_type <> 'rule' then 'QA_REQUIRED_ID_NOT_RULE' end as code
+           from each e left join names n on n.key = {_KEY.format("e.ref")} left join types t on t.id = n.entity_id where coalesce({_KEY.format("e.ref")}, '') <> '') """
+        + " union all ".join([
+            _rows("qa", "qa_row", [
+                ("high", "QA_ID", "id", _e("id"), "'no id'"), ("high", "QA_AS_OF", "as_of", f"{_date('as_of')} is null", "as_of"),
+                *[("high", "QA_TEXT", f, _e(f), "'no text'") for f in ("question", "expected")],
+                *[("high", "QA_ID_LIST", f, f"({f} is null or {_blank(f)})", "'no list of ids'") for f in _IDS],
+                ("high", "QA_FORBIDDEN_CLAIMS", "forbidden_claims", f"(forbidden_claims is null or {_blank('forbidden_claims')})", "'no list of texts'"),
+            ]),
+            "select case when starts_with(code, 'QA_UNKNOWN') then 'critical' else 'high' end, code, 'qa/' || qa_row, field, ref from found where code is not null",
+            _again("qa_regression", "qa", "qa_row", "id", "id", "high", "QA_ID_DUPLICATE", "trim(coalesce(id, '')) <> ''"),
+        ]),
+    "identity_rules": """with ids as (select distinct id from entities where trim(coalesce(id, '')) <> ''),
+       own as (select distinct alias, owner from (select unnest(id_aliases) as alias, id as owner from entities) where trim(coalesce(alias, '')) <> ''),
+       listed as (select distinct alias_id as alias, canonical_id as owner from id_aliases where trim(coalesce(alias_id, '')) <> ''),
+       claims as (select * from own where owner is not null union select * from listed where owner is not null) """
+        + " union all ".join([
+            _rows("entities", "entity_row", [
+                ("critical", "ID_MISSING", "id", _e("id"), "'no id'"),
+                ("critical", "ID_INVALID", "id", "regexp_matches(id, '\\s|^(claim|evidence|source|conflict):')", "id"),
+                ("high", "TITLE_MISSING", "title", _e("title"), "'no title'"),
+                ("medium", "DUPLICATE_LIST_VALUE", "aliases", _rep("aliases"), "'repeated alias'"),
+                ("high", "FIELD_TYPE", "aliases", _blank("aliases"), "'blank alias'"),
+            ]),
+            "select 'critical', 'DUPLICATE_ID', id, 'id', count(*) || ' rows' from entities where trim(coalesce(id, '')) <> '' group by id having count(*) > 1",
+            "select 'critical', 'ID_ALIAS_COLLISION', alias, 'id_aliases', count(*) || ' records' from claims group by alias having count(*) > 1",
+            "select 'critical', 'ID_ALIAS_IS_ID', alias, 'id_aliases', owner from claims where alias in (select id from ids) and alias <> owner",
+            "select 'critical', 'ID_ALIAS_CANONICAL_BROKEN', alias, 'canonical_id', coalesce(owner, '') from listed where owner is null or owner not in (select id from ids)",
+            "select 'high', 'ID_ALIAS_MAP_DRIFT', alias, 'id_aliases', coalesce(owner, '') from own o where not exists (select 1 from listed l where l.alias = o.alias and l.owner = o.owner)",
+        ]),
+    "temporal_rules": " union all ".join([
+        _rows("chunks", "chunk_row", [
+            ("high", "DATE_REQUIRED", "valid_from", _e("valid_from"), "'no start'"),
+            ("high", "DATE_INVALID", "valid_from", _bad("valid_from"), "valid_from"),
+            ("high", "DATE_INVALID", "valid_until", _bad("valid_until"), "valid_until"),
+            ("high", "TEMPORAL_ORDER", "valid_until", f"{_date('valid_from')} > {_date('valid_until')}", "valid_from || ' > ' || valid_until"),
+        ]),
+        _rows("temporal", "temporal_row", [
+            ("high", "RULE_TEMPORAL_DATE", "applicable_from", f"{_date('applicable_from')} is null", "applicable_from"),
+            ("high", "RULE_TEMPORAL_DATE", "applicable_to", _bad("applicable_to"), "applicable_to"),
+            ("high", "RULE_TEMPORAL_ORDER", "applicable_to", f"{_date('applicable_from')} > {_date('applicable_to')}", "applicable_from || ' > ' || applicable_to"),
+            ("high", "RULE_TEMPORAL_VERSION", "rule_version", "not coalesce(regexp_full_match(rule_version, '\\d+(\\.\\d+)*'), false)", "rule_version"),
+        ]),
+    ]),
+    "verification_rules": " union all ".join([
+        _rows("entities", "entity_row", [
+            ("medium", "VERIFIER_ID_DUPLICATE", "verifier_ids", _rep("verification.verifier_ids"), "'repeated verifier'"),
+            ("medium", "VERIFICATION_METHOD_DUPLICATE", "methods", _rep("verification.methods"), "'repeated method'"),
+            ("high", "VERIFIER_IDS_TYPE", "verifier_ids", _blank("verification.verifier_ids"), "'blank verifier'"),
+            ("high", "VERIFICATION_METHODS_TYPE", "methods", _blank("verification.methods"), "'blank method'"),
+            ("high", "VERIFICATION_DATE_INVALID", "verified_on", _bad("verification.verified_on"), "verification.verified_on"),
+            ("high", "VERIFICATION_VERIFIER_MISSING", "verifier_ids", f"not ({_e('verification.verified_on')}) and {_none('verification.verifier_ids')}", "'no verifier'"),
+            ("high", "VERIFICATION_METHOD_MISSING", "methods", f"not ({_e('verification.verified_on')}) and {_none('verification.methods')}", "'no method'"),
+        ]),
+        """select 'high', 'VERIFIER_UNKNOWN', 'entities/' || entity_row, 'verifier_ids', value from (select entity_row, unnest(verification.verifier_ids) as value from entities)
+           where trim(coalesce(value, '')) <> '' and value not in (select verifier_id from verifiers)""",
+        """select 'high', 'VERIFICATION_METHOD_INVALID', 'entities/' || entity_row, 'methods', value from (select entity_row, unnest(verification.methods) as value from entities)
+           where trim(coalesce(value, '')) <> '' and value not in (select code from vocab where field = 'verification_method')""",
+    ]),
+}
+
 SQL = {
+    **_FAMILIES,
+    "rule_summary": "select severity, code, count(*) as n_issues from ("
+    + " union all ".join(f"select * from ({sql})" for sql in _FAMILIES.values())
+    + ") group by 1, 2",
+    "source_locations": f"select source_row, case when {_P} <> '' then 'path' when {_U} <> '' then 'url' end as kind, case when {_P} <> '' then {_P} when {_U} <> '' then {_U} end as value from sources",
     "match_language": f"""with h as (select {_hay("title")} as a, {_hay("heading")} as b, {_hay("content")} as c from chunks),
        t as (select *, a || '|' || b || '|' || c as x from h)
        select count(*) filter (contains(x, ' 야간근로수당 ') and contains(x, ' 별지 ')) as "and",
