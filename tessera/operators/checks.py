@@ -14,7 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.norm import reference_key
+from ..session import broadcast_if_small, lookup_join
 from .graph import issue
+from .resolve import duplicates
 
 #: Kinds that a field may be required to have, by the type name of a variant.
 KINDS = {"text": ("STRING",), "list": ("ARRAY",), "map": ("OBJECT",), "int": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "bool": ("BOOLEAN",)}
@@ -85,8 +88,6 @@ def vocabulary_issues(df: DataFrame, columns: dict[str, str], path: str, vocab:
 
     A vocabulary is a curated list; it is broadcast only while its estimate is small.
     """
-    from ..session import broadcast_if_small
-
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(f).alias("field"), F.col(c).cast("string").alias("value")) for c, f in columns.items()])
     values = df.select(F.col(path).alias("path"), F.explode(each).alias("e")).select("path", "e.*").where("trim(coalesce(value, '')) != ''")
     wrong = values.join(broadcast_if_small(vocab.select("field", "value").distinct()), ["field", "value"], "left_anti")
@@ -95,9 +96,6 @@ def vocabulary_issues(df: DataFrame, columns: dict[str, str], path: str, vocab:
 
 def unique_issues(df: DataFrame, keys: list[str], path: str, code: str, severity: str = "critical") -> DataFrame:
     """One issue per row whose key several rows have; keys are counted first, so a hot key forms no group."""
-    from ..session import lookup_join
-    from .resolve import duplicates
-
     some = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     hit = lookup_join(df.where(some).select(path, *keys), duplicates(df.where(some), keys), keys, [path])
     return hit.select(*issue(severity, code, F.col(path).cast("string"), keys[0], F.concat(F.col("n_rows").cast("string"), F.lit(" rows"))))
@@ -105,9 +103,6 @@ def unique_issues(df: DataFrame, keys: list[str], path: str, code: str, severity
 
 def reference_issues(df: DataFrame, column: str, path: str, known: DataFrame, code: str, severity: str = "critical") -> DataFrame:
     """Non-blank references that no known id (column ``id``) equals."""
-    from ..functions.norm import reference_key
-    from ..session import lookup_join
-
     refs = df.select(path, F.col(column).alias("value"), reference_key(column).alias("__key")).where("__key is not null and __key != ''")
     ids = known.select(reference_key("id").alias("__key")).where("__key is not null").distinct()
     lost = lookup_join(refs, ids, ["__key"], [path], "left_anti")
@@ -141,7 +136,7 @@ def page_link_issues(pages: DataFrame) -> DataFrame:
     target = F.when(F.col("path") == "", F.col("page")).when(is_folder, F.ltrim(F.concat(joined, F.lit("/index.html")), F.lit("/"))).otherwise(joined)
     refs = refs.withColumn("target", target)
     known = pages.select(F.col("page").alias("target"), F.col("ids").alias("__ids"))
-    found = refs.join(known, "target", "left")
+    found = lookup_join(refs, known, ["target"], ["page", "reference"], "left")
     code = (
         F.when(F.col("path").startswith("/"), "ROOT_ABSOLUTE_REFERENCE")
         .when(F.startswith(F.col("target"), F.lit("..")), "REFERENCE_ESCAPE")

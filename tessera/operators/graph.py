@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.norm import edge_id
+from ..session import cut_lineage, lookup_join
 
 NODE = ("id", "node_type", "title", "owner_id")
 
@@ -66,7 +67,8 @@ def edge_issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select("id", "source", "relation", "target", F.posexplode(F.array("source", "target")).alias("k", "end"))
     ends = ends.withColumn("__field", F.when(F.col("k") == 0, "source").otherwise("target"))
     empty = ends.where("coalesce(end, '') = ''")
-    unknown = ends.where("coalesce(end, '') != ''").join(ids, F.col("end") == ids["id"], "left_anti")
+    known = ids.withColumnRenamed("id", "end")
+    unknown = lookup_join(ends.where("coalesce(end, '') != ''"), known, ["end"], ["id", "k"], "left_anti")
     parts = [
         nodes.where("coalesce(id, '') = ''").select(
             *issue("critical", "GRAPH_NODE_ID_MISSING", F.coalesce("node_type", F.lit("")), "id", F.lit("node without id"))
@@ -103,7 +105,7 @@ def first_related(edges: DataFrame, types: DataFrame, wanted: str, priority: lis
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, priority)), F.col("relation")), F.lit(0))
     rank = F.when(rank == 0, F.lit(len(priority) + 1)).otherwise(rank)
     of_type = types.where(F.col("node_type") == wanted).select(F.col("id").alias("target")).distinct()
-    found = edges.join(of_type, "target", "left_semi").where("source != target")
+    found = lookup_join(edges.where("source != target"), of_type, ["target"], ["source", "ord"], "left_semi")
     return found.groupBy("source").agg(F.min_by("target", F.struct(rank, "ord", "target")).alias("target"))
 
 
@@ -126,8 +128,6 @@ def layers(edges: DataFrame, source: str = "source", target: str = "target", max
     Rounds take off all nodes whose predecessors are gone, so there are as
     many rounds as layers; lineage is cut each round.
     """
-    from ..session import cut_lineage
-
     edges = cut_lineage(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct())
     left = cut_lineage(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     done = []

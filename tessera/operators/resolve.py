@@ -94,11 +94,9 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def later_duplicates(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows whose key an earlier row (smaller ``order``) has; of equal orders one row is the first."""
-    first = df.groupBy(*keys).agg(F.min(order).alias("__first"))
-    cond = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    return (
-        df.alias("l").join(first.alias("r"), cond).where(F.col(f"l.{order}") > F.col("r.__first")).select("l.*")
-    )
+    keyed = df.withColumn("__key", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))  # nulls are equal
+    first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
+    return lookup_join(keyed, first, ["__key"], [order]).where(F.col(order) > F.col("__first")).select(*df.columns)
 
 
 def numbered(df: DataFrame, group: str, order: list, name: str = "number") -> DataFrame:

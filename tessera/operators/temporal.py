@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.norm import OPEN_END, col, strict_date
+from ..session import lookup_join
 
 
 def as_of(df: DataFrame, day: str, start: str, end: str) -> DataFrame:
@@ -61,16 +62,18 @@ def first_valid_date(candidates: list[tuple[str, Column]]) -> Column:
 def successor_overlaps(df: DataFrame, entity: str, start: str, end: str, row: str) -> DataFrame:
     """Rows whose next interval of the entity (by start, then row) begins before they end, with that start.
 
-    Sorted per entity after reduction to distinct intervals by the caller if
-    an entity may be hot; dates are texts, rows without real dates are left out.
+    Dates are texts; rows without real dates or entity are left out.  The next
+    start is looked for among the entity's distinct start days, one row per
+    day at most, so a hot entity makes no large sort.
     """
-    from pyspark.sql import Window
-
     days = df.select(entity, row, strict_date(start).alias("first"), strict_date(end).alias("stop")).where(
-        "first is not null and stop is not null"
+        F.col(entity).isNotNull() & F.col("first").isNotNull() & F.col("stop").isNotNull()
     )
-    order = Window.partitionBy(entity).orderBy("first", row)
-    return days.withColumn("next_first", F.lead("first").over(order)).where("next_first < stop")
+    starts = days.groupBy(entity, "first").agg(F.max(row).alias("__last"))
+    starts = starts.withColumn("__next", F.lead("first").over(Window.partitionBy(entity).orderBy("first")))
+    following = F.when(F.col(row) < F.col("__last"), F.col("first")).otherwise(F.col("__next"))
+    joined = lookup_join(days, starts, [entity, "first"], [row]).withColumn("next_first", following)
+    return joined.where("next_first < stop").select(entity, row, "first", "stop", "next_first")
 
 
 def timeline_issues(df: DataFrame, path: str, pairs: list[tuple[str, str, str]]) -> DataFrame:

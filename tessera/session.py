@@ -42,13 +42,14 @@ def lookup_join(
     hot_rows: int = 200_000,
     small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
-    """Join many ``left`` rows to at most one ``right`` row per key, hot keys split.
+    """Join many ``left`` rows to few ``right`` rows per key (best one), hot keys split.
 
     Keys with more than ``hot_rows`` left rows are counted first (partial
     aggregation), spread over ``ceil(rows / hot_rows)`` salts by a hash of the
-    ``spread`` columns, and their single right row is repeated per salt.  The
+    ``spread`` columns, and their right rows are repeated per salt.  The
     broadcast list of hot keys has at most ``rows / hot_rows`` entries.
-    Null keys match nothing; ``how`` is inner, left or left_anti.  A left side
+    Null keys match nothing; ``how`` is inner, left,
+    left_semi or left_anti.  A left side
     that Catalyst estimates below ``SMALL_BYTES`` has no key worth splitting
     and is joined as it is.
     """

@@ -45,7 +45,8 @@ def write_index(chunks: DataFrame, root: str, row: str = "chunk_row", fields: tu
     """Search index as tables: chunks, postings (partitioned by a hash of the term) and document sizes."""
     chunks.write.mode("overwrite").parquet(inside(root, "chunks"))
     rows = postings(chunks, row, list(fields)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(inside(root, "postings"))
+    # Rebalanced, so that a bucket with a very frequent term is written by several tasks.
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(inside(root, "postings"))
     document_stats(chunks, row, list(fields)).write.mode("overwrite").parquet(inside(root, "doc_stats"))
 
 
