@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.norm import reference_key
 from ..session import lookup_join
 from . import codepoints
 
@@ -200,7 +201,7 @@ def match_values(values: DataFrame, names: DataFrame, block: int = 20_000) -> Da
     the order of ids wins.  The names go to the tasks in blocks of at most
     ``block`` names, each compared with all values; the best of the blocks wins.
     """
-    values = values.select("list_name", "value").where("value is not null and trim(value) != ''").distinct()
+    values = values.select("list_name", "value").where(F.coalesce(reference_key("value"), F.lit("")) != "").distinct()
     names = names.select("list_name", "canonical_id", "name").distinct()
     blocks = max(1, -(-names.count() // block))
     place = F.pmod(F.xxhash64("canonical_id"), F.lit(blocks))
@@ -241,7 +242,7 @@ def canonical_entries(entries: DataFrame, names: DataFrame, row: str) -> DataFra
     those equal to an id of their list are left out; repeated rows come out each.
     """
     ids = names.select("list_name", F.col("canonical_id").alias("value")).distinct()
-    entries = entries.where("value is not null and not value rlike r'^\\s*$'")
+    entries = entries.where(F.coalesce(reference_key("value"), F.lit("")) != "")
     entries = lookup_join(entries, ids, ["list_name", "value"], [row, "pos"], "left_anti")
     matched = match_values(entries, names)
     return lookup_join(entries, matched, ["list_name", "value"], [row, "pos"]).drop("list_name")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.norm import reference_key
 from . import codepoints
 
 #: The language codes, and the letters that a passage in a further language has at least.
@@ -321,7 +322,7 @@ def _fit(s, target, use, idf, languages, epochs, batch, alpha, beta, l1, l2, see
 
 def label_code(label):
     """Language code that a label gives: lower case, trimmed, up to the first - or _."""
-    return F.regexp_extract(F.lower(F.trim(label)), r"^([^-_]*)", 1)
+    return F.regexp_extract(reference_key(label), r"^([^-_]*)", 1)
 
 
 def fit_model(

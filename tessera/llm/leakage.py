@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, lookup_join
 from . import codepoints
 
 #: Letters or digits that a leak has at least, and the length of a gram.
@@ -207,8 +208,10 @@ def _marked(df: DataFrame, key: str, span: int, gram: int) -> DataFrame:
 def _leaked_by_shuffle(documents: DataFrame, items: DataFrame, span: int, gram: int) -> DataFrame:
     marks = _marked(items, "item_id", span, gram)
     # Documents without any item's fingerprint leave here; the others meet each candidate item once.
-    candidates = _marked(documents, "doc_id", span, gram).join(marks, "mark").select("doc_id", "item_id").distinct()
-    pairs = candidates.join(items.withColumnRenamed("text", "item_text"), "item_id").join(documents, "doc_id")
+    met = lookup_join(_marked(documents, "doc_id", span, gram), marks, ["mark"], ["doc_id"])
+    candidates = cut_lineage(met.select("doc_id", "item_id").distinct())
+    asked = lookup_join(candidates, items.withColumnRenamed("text", "item_text"), ["item_id"], ["doc_id"])
+    pairs = lookup_join(asked, documents, ["doc_id"], ["item_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
