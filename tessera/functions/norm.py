@@ -11,7 +11,7 @@ UNKNOWN_START = "1900-01-01"
 #: Day number that stands for an open end; later than any real date.
 OPEN_DAY = 4_000_000
 
-_BLANK = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_BLANKS = " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col(x: Column | str) -> Column:
@@ -40,7 +40,7 @@ def ordered_distinct(x: Column | str) -> Column:
 
 def reference_key(x: Column | str) -> Column:
     """Reference in lower case without surrounding blanks of any kind; null stays null."""
-    return F.regexp_replace(F.lower(col(x)), rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(F.lower(col(x)), F.lit(_BLANKS))
 
 
 def normalized_ref(x: Column | str) -> Column:
