@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.norm import reference_key
 
+_BITS = 16
 _OUT = "table_name string, field string, row_id bigint, ref_id string, reason string, recorded_at timestamp_ntz"
 
 
@@ -108,7 +109,7 @@ def hanging_references(
     refs: DataFrame,
     parents: DataFrame,
     rows_per_range: int = 500_000,
-    rows_per_salt: int = 500_000,
+    rows_per_salt: int = 100_000,
 ) -> DataFrame:
     """References without a usable target, each with its reason.
 
@@ -130,14 +131,21 @@ def hanging_references(
     parents = parents.select(
         F.concat("kind", F.lit(":"), "key").alias("__key"), "registered_at", "deleted_at"
     ).withColumn("__hash", F.xxhash64("__key"))
-    # Ranges of equal width: the upper bits of the hash.
-    bits = min(20, max(1, math.ceil(math.log2(max(1, parents.count() / rows_per_range) + 1))))
+    # References are counted once, per finest range (2**16 rows at most); from that follow the width of the
+    # ranges (the upper bits of the hash), so that parents and, but for hot keys, references fit, and the salts.
+    finest = F.shiftright("__hash", 64 - _BITS) + F.lit(1 << (_BITS - 1))
+    counted = refs.groupBy(finest.cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()
+    wanted = max(parents.count() / rows_per_range, sum(r["n"] for r in counted) / rows_per_salt)
+    bits = min(_BITS, max(1, math.ceil(math.log2(max(1.0, wanted) + 1))))
     place = F.shiftright("__hash", 64 - bits) + F.lit(1 << (bits - 1))
     refs = refs.withColumn("__range", place.cast("int"))
     parents = parents.withColumn("__range", place.cast("int"))
-    # One row per range, so bounded by the number of ranges.
-    salts = refs.groupBy("__range").agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("__salts"))
-    salts = F.broadcast(salts)
+    per_range: dict[int, int] = {}
+    for r in counted:
+        at = r["r"] >> (_BITS - bits)
+        per_range[at] = per_range.get(at, 0) + r["n"]
+    salted = [(at, math.ceil(n / rows_per_salt)) for at, n in per_range.items()]
+    salts = F.broadcast(refs.sparkSession.createDataFrame(salted, "__range int, __salts int"))
     refs = refs.join(salts, "__range").withColumn(
         "__salt", F.pmod(F.xxhash64("row_id", "table_name", "field"), F.col("__salts")).cast("int")
     )
