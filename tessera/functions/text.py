@@ -138,3 +138,13 @@ def toc_entries(html: Column | str) -> Column:
         F.regexp_extract_all(col(html), F.lit(pattern), F.lit(2)), lambda v: F.trim(F.regexp_replace(v, "<[^>]*>", ""))
     )
     return F.arrays_zip(ids.alias("id"), labels.alias("label"))
+
+
+def body_sections(message: Column | str) -> Column:
+    """Names of the lines 'Name:' of a message, in order."""
+    return F.regexp_extract_all(F.coalesce(col(message), F.lit("")), F.lit(r"(?m)^([A-Za-z가-힣][\w가-힣 -]*):"), F.lit(1))
+
+
+def decision_number(x: Column | str) -> Column:
+    """A decision's number without remarks in brackets and blanks, '' if there is none."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"\([^)]*\)", ""), r"(?U)\s+", "")

@@ -113,6 +113,33 @@ def manifest(files: DataFrame, path: str = "path", content: str = "content") ->
     )
 
 
+def with_source_ids(files: DataFrame, registered: DataFrame) -> DataFrame:
+    """A manifest with source_id: the registered id of the path (the last registered wins), else the path's own id.
+
+    ``registered``: path, source_id, ordinal.
+    """
+    known = registered.where("coalesce(source_id, '') != ''").groupBy("path").agg(F.max_by("source_id", "ordinal").alias("__id"))
+    return files.join(known, "path", "left").withColumn("source_id", F.coalesce("__id", "path_id")).drop("__id", "path_id")
+
+
+def registry_drift(registry: DataFrame, current: DataFrame) -> DataFrame:
+    """id, verdict between a registry of ids (id, path, aliases) and the current records (id, path).
+
+    'missing': a record that the registry lacks; 'path changed'; 'removed': a
+    registered id that no record has and that is no alias of one.
+    """
+    old = registry.select("id", F.col("path").alias("__old"), F.lit(True).alias("__registered"))
+    new = current.groupBy("id").agg(F.min("path").alias("__new")).withColumn("__current", F.lit(True))
+    kept = registry.select(F.explode("aliases").alias("id")).distinct()
+    both = old.join(new, "id", "full")
+    verdict = (
+        F.when(F.col("__registered").isNull(), "missing").when(F.col("__current").isNull(), "removed")
+        .when(~F.col("__old").eqNullSafe(F.col("__new")), "path changed")
+    )
+    found = both.select("id", verdict.alias("verdict")).where("verdict is not null")
+    return found.where("verdict != 'removed'").unionByName(found.where("verdict = 'removed'").join(kept, "id", "left_anti"))
+
+
 # Suffixes of text files, and media types.
 TEXT_SUFFIXES = ("csv", "css", "htm", "html", "js", "json", "jsonl", "md", "svg", "txt", "xml", "yaml", "yml")
 MEDIA_TYPES = {

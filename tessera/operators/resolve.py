@@ -118,3 +118,15 @@ def numbered(df: DataFrame, group: str, order: list, name: str = "number") -> Da
         F.col(f"l.{group}").eqNullSafe(F.col(f"r.{group}")) & (F.col("l.__part") == F.col("r.__part")),
     )
     return joined.select("l.*", (F.col("l.__inner") + F.col("r.__before")).alias(name)).drop("__inner", "__part")
+
+
+def number_links(records: DataFrame, number: str, texts: DataFrame, text: str, row: str, pattern: str) -> DataFrame:
+    """row, entity_id of every record whose number stands in a text.
+
+    Numbers are cut out of the texts by their form and joined, instead of
+    looking for every number in every text.  ``records``: entity_id and the
+    number column; blank numbers link nothing, a text links a record once.
+    """
+    found = texts.select(row, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).alias("__n"))
+    known = records.where(F.trim(F.coalesce(F.col(number), F.lit(""))) != "").select("entity_id", F.trim(number).alias("__n")).distinct()
+    return lookup_join(found, known, ["__n"], [row]).select(row, "entity_id").distinct()

@@ -77,3 +77,64 @@ def search_text(parts: list[Column]) -> Column:
     """Distinct non-blank parts in their order, joined by blanks."""
     cleaned = F.filter(F.array(*[F.trim(F.coalesce(p, F.lit(""))) for p in parts]), lambda p: p != "")
     return F.array_join(F.array_distinct(cleaned), " ")
+
+
+def authority_records(records: str, primary: str, supporting: str) -> Column:
+    """Array of (target_id, role): the record's own array if it has one, else the primary and the other supporting ids."""
+    first = scalar_text(primary)
+    ids = F.concat(
+        F.when(first != "", F.array(F.struct(first.alias("target_id"), F.lit("primary").alias("role")))).otherwise(F.array().cast("array<struct<target_id:string,role:string>>")),
+        F.transform(F.array_except(ordered_distinct(supporting), F.array(first)), lambda x: F.struct(x.alias("target_id"), F.lit("supporting").alias("role"))),
+    )
+    own = F.transform(F.col(records), lambda r: F.struct(F.trim(r["target_id"]).alias("target_id"), r["role"].alias("role")))
+    return F.when(F.col(records).isNotNull(), own).otherwise(ids)
+
+
+def authority_target_ids(records: Column) -> Column:
+    """Distinct non-blank targets of authority records, in order."""
+    return ordered_distinct(F.transform(records, lambda r: r["target_id"]))
+
+
+def conflict_records(records: str, kind: str, status: str, note: str) -> Column:
+    """Array of (conflict_id, type, status, note); a flat conflict without an array is one record of its own."""
+    one = F.struct(F.lit("legacy-conflict").alias("conflict_id"), scalar_text(kind).alias("type"), scalar_text(status).alias("status"), scalar_text(note).alias("note"))
+    none = F.array().cast("array<struct<conflict_id:string,type:string,status:string,note:string>>")
+    flat = F.when(scalar_text(kind) != "", F.array(one)).otherwise(none)
+    return F.when(F.col(records).isNotNull(), F.filter(records, lambda r: r.isNotNull())).otherwise(flat)
+
+
+#: Availability of the flat form and of the nested form.
+AVAILABILITY = {"available": "complete", "partial": "partial", "unavailable_official": "official_unavailable"}
+
+
+def availability(x: str) -> Column:
+    """Availability in the nested form; other values mean not_applicable."""
+    table = F.create_map(*[F.lit(v) for kv in AVAILABILITY.items() for v in kv])
+    return F.coalesce(F.try_element_at(table, scalar_text(x)), F.lit("not_applicable"))
+
+
+def source_ids(own: str, evidence: Column) -> Column:
+    """The record's own source ids, or those of its evidence if it has none; distinct, in order."""
+    mine = ordered_distinct(own)
+    return F.when(F.size(mine) > 0, mine).otherwise(ordered_distinct(F.transform(evidence, lambda e: e["source_id"])))
+
+
+def shadowed(df: DataFrame, attributes: str, columns: list[str]) -> DataFrame:
+    """Flat columns overlaid by the attributes (a map) of the same name; only the named columns may be.
+
+    Name resolution must read the columns before this, so that attributes
+    cannot change what a reference means.
+    """
+    over = {c: F.coalesce(F.try_element_at(F.col(attributes), F.lit(c)), F.col(c)) for c in columns}
+    return df.withColumns(over)
+
+
+def archive_order(date: str = "sort_date", title: str = "title") -> list[Column]:
+    """Order of archives: the latest first, then by title."""
+    return [F.desc(date), F.asc(title)]
+
+
+def type_rank(entity_type: str, order: list[str]) -> Column:
+    """Place of a type in a fixed order; unknown types come last."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(entity_type))
+    return F.when(at == 0, len(order) + 1).otherwise(F.coalesce(at, F.lit(len(order) + 1))).cast("int")

@@ -57,23 +57,23 @@ def lookup_join(
         return left.join(right, on, how)
     hot = (
         left.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
+        .agg(F.count(F.lit(1)).alias("__lookup_rows"))
+        .where(F.col("__lookup_rows") > hot_rows)
+        .select(*on, F.ceil(F.col("__lookup_rows") / hot_rows).cast("int").alias("__lookup_salts"))
     )
     hot = F.broadcast(hot)
-    one = F.coalesce(F.col("__salts"), F.lit(1))
+    one = F.coalesce(F.col("__lookup_salts"), F.lit(1))
     many = (
         left.join(hot, on, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*spread), one).cast("int"))
-        .drop("__salts")
+        .withColumn("__lookup_salt", F.pmod(F.xxhash64(*spread), one).cast("int"))
+        .drop("__lookup_salts")
     )
     few = (
         right.join(hot, on, "left")
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), one - 1)))
-        .drop("__salts")
+        .withColumn("__lookup_salt", F.explode(F.sequence(F.lit(0), one - 1)))
+        .drop("__lookup_salts")
     )
-    return many.join(few, [*on, "__salt"], how).drop("__salt")
+    return many.join(few, [*on, "__lookup_salt"], how).drop("__lookup_salt")
 
 
 def estimated_bytes(df: DataFrame) -> int:
