@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,11 @@ def lookup_join(
     )
     hot = F.broadcast(hot)
     one = F.coalesce(F.col("__lookup_salts"), F.lit(1))
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
+    salts = F.when(null_key, F.lit(1 << 16)).otherwise(one)  # null keys meet nothing, wherever they go
     many = (
         left.join(hot, on, "left")
-        .withColumn("__lookup_salt", F.pmod(F.xxhash64(*spread), one).cast("int"))
+        .withColumn("__lookup_salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
         .drop("__lookup_salts")
     )
     few = (
