@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import cut_lineage
 from . import codepoints
 
 
@@ -55,6 +56,7 @@ def look_alike_pairs(formed: DataFrame, rows_per_salt: int = 20_000) -> DataFram
     is split by salts on its left side; its right side goes to each salt.
     """
     formed = formed.where("form != ''").select("field", "key", "value", "form").distinct()
+    formed = cut_lineage(formed)  # the texts are folded once for the uses below
     groups = look_groups(formed).withColumn("salts", F.ceil(F.col("n_rows") / rows_per_salt).cast("int"))
     members = formed.join(groups.select("field", "form", "salts"), ["field", "form"])
     left = members.select(
