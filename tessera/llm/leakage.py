@@ -41,8 +41,8 @@ def gram_hashes(chars: np.ndarray, gram: int) -> np.ndarray:
             have = have[:0]
         else:
             have = have[:-length] * power + have[length:]
-        power = power * power
         length *= 2
+        power = power_of(length)
     whole = whole ^ (whole >> np.uint64(32))
     whole = whole * _MIX
     return whole ^ (whole >> np.uint64(29))
