@@ -188,9 +188,14 @@ def _near(hay: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
 
 
 def tokenised(df: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    """``df`` with a folded text per field, made once per row, and those columns by field."""
+    """``df`` with a folded text per field, made once per row, and those columns by field.
+
+    The texts come out of a generator of one row, which no filter and no
+    projection above is pushed through; otherwise each use would fold again.
+    """
     names = {f: f"__t_{k}" for k, f in enumerate(fields)}
-    return df.select("*", *[search_hay(f).alias(n) for f, n in names.items()]), {f: F.col(n) for f, n in names.items()}
+    folded = F.inline(F.array(F.struct(*[search_hay(f).alias(n) for f, n in names.items()])))
+    return df.select("*", folded), {f: F.col(n) for f, n in names.items()}
 
 
 def matches(tree: tuple, fields: dict[str, Column]) -> Column:
