@@ -96,8 +96,8 @@ class Items:
         self.hash = grams[self.place] if len(place) else np.zeros(0, np.uint64)
         self.item = owner[self.place] if len(place) else np.zeros(0, np.int64)
 
-    def common_run(self, text: np.ndarray, at: int, place: int, item: int) -> int:
-        """Length of the common run through text[at:] and the item at ``place``."""
+    def common_run(self, text: np.ndarray, at: int, place: int, item: int) -> tuple[int, int]:
+        """Letters of the common run before text[at] and the item's ``place``, and from there on."""
         a, b = self.offsets[item], self.offsets[item + 1]
         left = min(at, place - a)
         right = min(len(text) - at, b - place)
@@ -105,7 +105,7 @@ class Items:
         ahead = text[at : at + right] != self.chars[place : place + right]
         before = left - 1 - np.flatnonzero(back)[-1] if back.any() else left
         after = np.flatnonzero(ahead)[0] if ahead.any() else right
-        return int(before + after)
+        return int(before), int(after)
 
     def leaks(self, chars: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(row, item index, longest common run) with a run of ``span`` at least."""
@@ -130,8 +130,9 @@ class Items:
                     line = (item, place - int(at))
                     if covered.get(line, -1) >= at:
                         continue
-                    run = self.common_run(text, int(at), place, item)
-                    covered[line] = int(at) + run
+                    before, after = self.common_run(text, int(at), place, item)
+                    run = before + after
+                    covered[line] = int(at) + after
                     if run >= self.span and run > best.get((int(r), item), 0):
                         best[int(r), item] = run
         return [(r, item, run) for (r, item), run in best.items()]

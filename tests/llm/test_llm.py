@@ -315,6 +315,42 @@ def test_leaks_against_brute_force(spark):
         leakage.leaked_items(documents, evals, 10, 20)
 
 
+def substituted_cases(n=400):
+    """Texts that share a short run, one changed letter and a run of 40 or more with their item."""
+    rng = random.Random(11)
+    some = lambda k: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(k))
+    cases = []
+    for _ in range(n):
+        short, long = some(rng.randrange(20, 40)), some(rng.randrange(40, 56))
+        item = some(rng.randrange(30)) + short + "u" + long + some(rng.randrange(30))
+        cases.append((some(rng.randrange(30)) + short + "v" + long + some(rng.randrange(30)), item))
+    return cases
+
+
+def longest_run(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + 1 if x == y else 0 for j, y in enumerate(b))]
+        best = max(best, *row)
+    return best
+
+
+def test_leak_behind_a_short_run_and_a_changed_letter():
+    for text, item in substituted_cases():
+        known = leakage.Items([7], [item], 40, 20)
+        got = known.leaks(*codepoints.letters_only(*codepoints.decode(pa.array([text], pa.string()))))
+        assert [(r, i, n) for r, i, n in got] == [(0, 0, longest_run(text, item))]
+
+
+def test_leak_behind_a_changed_letter_both_ways(spark):
+    cases = substituted_cases(60)
+    documents = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    evals = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "item_id bigint, text string")
+    want = [(k, k, longest_run(*c)) for k, c in enumerate(cases)]
+    for limit in (4_000_000, 0):
+        assert tuples(leakage.leaked_items(documents, evals, broadcast_chars=limit), "doc_id", "item_id", "run") == want
+
+
 # --- language ------------------------------------------------------------------------
 
 
