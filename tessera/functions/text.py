@@ -38,11 +38,17 @@ def lines(x: Column | str) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def _as_in_python(pattern: str) -> str:
+    """The pattern for Java with the blanks, word letters and line ends that Python's re knows."""
+    pattern = pattern.replace(r"[\w_]", r"[\p{L}\p{N}_]").replace(r"\s", r"[\s\x1c-\x1f]").replace(r"\S", r"[^\s\x1c-\x1f]")
+    return f"(?Ud){pattern}"
+
+
 def plain_text(x: Column | str, steps=PLAIN_STEPS) -> Column:
     """Text without markup, blanks collapsed; null stays null."""
     c = col(x)
     for pattern, left in steps:
-        c = F.regexp_replace(c, f"(?U){pattern}", left)
+        c = F.regexp_replace(c, _as_in_python(pattern), left)
     return F.trim(c)
 
 

@@ -425,7 +425,7 @@ def summaries(spark, d):
 
 def plain_text(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", F.sha2(text.plain_text("text", text.SIMPLE_STEPS), 256).alias("digest"))
+    return docs.select("doc_id", F.sha2(text.plain_text("text"), 256).alias("digest"))
 
 
 def heading_anchors(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import math
 import os
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import flowchart, markup, norm, text
 from tessera.operators import checks, graph, quality, resolve, search, temporal, view
+from tessera.plans import reference_queries
 from tessera.sinks import writers
 from tessera.sources import frontmatter, readers
 from tessera.streaming import flows
@@ -134,6 +136,19 @@ def test_plain_text_is_the_same_in_both(spark):
         assert r.p == (None if r.t is None else markup.plain(r.t))
 
 
+MARKED = [
+    "**bold** and __bold__ ~~struck~~ *it* _it_ snake_case_name 2 * 3 * 4", "***both*** **a *b* c** __init__ _가_나 (_x_)",
+    "**open\n**closed** *a\rb* _a\u0085b_ ~~a\u2028b~~", "a\r# no heading\n  ## heading\n> quote\r> none\n\x1f> quote",
+    "_e\u0301_ _a_\u0301 *\x1ca* \x1cend\x1d", "[[p#h|**Label**]] [*l*](u) `_c_` <br/>\u3000x", "", None,
+]
+
+
+def test_plain_text_query_takes_every_step(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(MARKED)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.digest for r in reference_queries.plain_text(spark, str(tmp_path)).collect()}
+    assert got == {k: hashlib.sha256(markup.plain(t).encode()).hexdigest() for k, t in enumerate(MARKED) if t is not None}
+
+
 def test_udf_columns(spark):
     df = spark.createDataFrame([(BODY, "Title"), (None, None), ("", "")], "b string, t string")
     rows = df.select(
