@@ -477,11 +477,13 @@ def snippets(spark, d):
 
 
 def additive_relevance(spark, d):
-    docs = table(spark, d, "documents")
-    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
-    score = search.additive_score(
-        ["수당", "지급"], low(F.col("title")), low(F.col("source")), low(F.substring("text", 1, 160)), low(F.col("entity_type")), low(F.col("text"))
-    )
+    body = text.plain_text(markup.without_claim_marks("text"))
+    parts = {c: F.col(c) for c in ("title", "source", "entity_type")}
+    parts |= {"summary": markup.summary_text("text"), "whole": view.search_text([*parts.values(), body])}
+    # Out of a generator: the filter below would fold again.
+    folded = F.inline(F.array(F.struct(*[F.coalesce(markup.folded(c), F.lit("")).alias(n) for n, c in parts.items()])))
+    docs = table(spark, d, "documents").select("doc_id", folded)
+    score = search.additive_score(search.fold_query("수당 지급"), *[F.col(c) for c in ("title", "source", "summary", "entity_type", "whole")])
     return docs.select("doc_id", score.alias("score")).where("score >= 0")
 
 

@@ -8,6 +8,7 @@ import json
 import math
 import os
 import sqlite3
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -285,6 +286,41 @@ def test_search_helpers(spark):
     assert search.top_ranked(df, 0, ["title"]).count() == 1
 
 
+RELEVANT = [
+    (1, "수당 안내", "raw-1", "guide", "# 지급\n\n- 항목\n\n수당 지급 요약이다.\n\n더 있다."),  # the summary is not the beginning
+    (2, "수당", "지급 규정", "수당", "terms only beside the text"),
+    (3, None, None, None, "ＡＢ 수당·지급\u3000 x"),
+    (4, unicodedata.normalize("NFD", "수당 지급"), "s", "지급", unicodedata.normalize("NFD", "수당") + " ^mark"),
+    (5, "지급", None, "x", None),
+    (6, "수당", "지급", "x", None),
+    (7, " ", "", "수당지급", "수**당** 지*급*"),
+    (8, "t", "s", "x", "```\n수당 지급\n```\n" + "가나 " * 90 + "수당"),
+    (9, None, None, None, None),
+]
+
+
+def relevance(terms, title, source, kind, body):
+    fold = lambda t: " ".join(unicodedata.normalize("NFKC", t or "").lower().replace("·", " ").split())
+    parts = [(x or "").strip() for x in (title, source, kind, markup.plain(markup.stripped(body or "")))]
+    whole = fold(" ".join(dict.fromkeys(x for x in parts if x)))
+    title, source, kind, short = fold(title), fold(source), fold(kind), fold(markup.summary(body or ""))
+    if not all(t in whole for t in terms):
+        return -1
+    return sum(
+        (100 if kind == t else 70 * (t in kind)) + (80 if title == t else 55 if title.startswith(t) else 40 * (t in title))
+        + 30 * (t in source) + 12 * (t in short) + 3
+        for t in terms
+    )
+
+
+def test_relevance_takes_all_parts(spark, tmp_path):
+    columns = "doc_id bigint, title string, source string, entity_type string, text string"
+    spark.createDataFrame(RELEVANT, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in reference_queries.additive_relevance(spark, str(tmp_path)).collect()}
+    want = {k: relevance(["수당", "지급"], *rest) for k, *rest in RELEVANT}
+    assert got == {k: v for k, v in want.items() if v >= 0} and {1, 2, 3, 4, 6, 7, 8} <= set(got)
+
+
 def test_temporal(spark):
     df = spark.createDataFrame(
         [(1, "2020-01-01", "2020-02-01"), (2, "2020-02-01", None), (3, "2020-01-01", ""), (4, "x", None), (5, "2020-01-01", "x"), (6, None, None), (7, "2020-01-01", "9999-12-31")],
