@@ -113,9 +113,15 @@ def claim_plan(anchors: DataFrame, supports: DataFrame) -> DataFrame:
     """entity_id, claim_id, n_evidence, resolved: the evidence of each claim and whether its anchor exists.
 
     ``supports``: entity_id, claim_id, evidence_id.  ``anchors``: entity_id,
-    claim_id, one row per accepted anchor; only a single anchor resolves.
+    claim_id, one row per accepted anchor; only a single anchor resolves.  If
+    there is a column ``text``, that of the anchor's block, it must not be
+    empty.  Rows whose column ``reserved`` is true are no anchors but ids that
+    the entity's page uses itself; no anchor of that id resolves.
     """
-    single = anchors.groupBy("entity_id", "claim_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    empty = F.col("text") == "" if "text" in anchors.columns else F.lit(False)
+    reserved = F.col("reserved") if "reserved" in anchors.columns else F.lit(False)
+    counted = anchors.groupBy("entity_id", "claim_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(reserved | empty).alias("n_unfit"))
+    single = counted.where("n = 1 and n_unfit = 0").drop("n", "n_unfit")
     claims = supports.groupBy("entity_id", "claim_id").agg(F.count_distinct("evidence_id").alias("n_evidence"))
     return claims.join(single.withColumn("resolved", F.lit(True)), ["entity_id", "claim_id"], "left").fillna(
         False, ["resolved"]

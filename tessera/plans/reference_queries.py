@@ -389,12 +389,17 @@ def evidence_supports(spark, d):
 
 
 def claim_plan(spark, d):
-    chunks = table(spark, d, "chunks").where("content is not null")
-    marks = chunks.select("entity_id", F.explode(text.lines("content")).alias("line")).select(
-        "entity_id", text.claim_marker("line").alias("claim_id")
-    ).where("claim_id != ''")
+    """Anchors by the scanner of Markdown lines; ids of an entity's headings, in any of its chunks, and of pages are taken."""
+    chunks = table(spark, d, "chunks")
+    section = F.when(~F.trim("heading").isin("", markup.DEFAULT_HEADING) & ~F.trim("heading").eqNullSafe(F.trim("title")), text.heading_fragment("heading"))
+    heads = F.concat(F.coalesce(markup.heading_ids("content", "title"), F.array()), F.array_compact(F.array(section)))
+    marks = F.transform(markup.claim_anchors("content").getField("accepted"), lambda a: F.struct(a["claim_id"], a["text"], F.lit(False).alias("reserved")))
+    taken = F.transform(heads, lambda h: F.struct(h.alias("claim_id"), F.lit("").alias("text"), F.lit(True).alias("reserved")))
+    anchors = chunks.select("entity_id", F.inline(F.concat(marks, taken))).where(
+        F.col("claim_id").rlike("^[a-z][a-z0-9-]{0,63}$") & ~F.col("claim_id").isin(*markup.PAGE_IDS)
+    )
     supports = table(spark, d, "evidence").select("entity_id", "evidence_id", F.explode("supports").alias("claim_id")).where("trim(claim_id) != ''")
-    return graph.claim_plan(marks, supports)
+    return graph.claim_plan(anchors, supports)
 
 
 # --- text and search --------------------------------------------------------------

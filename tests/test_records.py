@@ -251,6 +251,22 @@ DOCS = [
 ]
 
 
+def test_claim_plan_reads_anchors_as_the_page_does(spark, tmp_path):
+    chunks = [
+        ("e", "T", "본문", "A block ^once\n\n```\ncode ^once\nmore ^fenced\n```\n"),
+        ("e", "T", "Facts", "# Head ^head\n\n| a | b |\n|---|---|\n| c | d ^cell\nrun ^running\ngoes on\n\n^alone\n\n- ^empty\n- x ^my-head"),
+        ("e", "T", None, "## My head\n\nsection ^facts\n\npage ^main\n\n- one ^two\n\n- two ^two\n\n- fit ^t\n\n- last ^bad_id"),
+        ("f", "Facts", "Facts", "# Facts\n\nhere ^facts\n\ntwice ^once"), ("f", None, None, None), (None, "T", None, "x ^once"),
+    ]
+    ids = ["once", "fenced", "head", "cell", "running", "alone", "empty", "my-head", "facts", "main", "two", "t", "bad_id", "none"]
+    evidence = [(e, i, ids) for i, e in enumerate(("e", "f", "f"))]
+    spark.createDataFrame(chunks, "entity_id string, title string, heading string, content string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame(evidence, "entity_id string, evidence_id int, supports array<string>").write.parquet(str(tmp_path / "evidence.parquet"))
+    rows = reference_queries.claim_plan(spark, str(tmp_path)).collect()
+    assert {(r.entity_id, r.claim_id) for r in rows if r.resolved} == {("e", "once"), ("e", "alone"), ("e", "t"), ("f", "facts"), ("f", "once")}
+    assert len(rows) == 2 * len(ids) and {r.n_evidence for r in rows if r.entity_id == "f"} == {2}
+
+
 def test_bm25_equals_sqlite(spark):
     con = sqlite3.connect(":memory:")
     try:
