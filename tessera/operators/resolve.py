@@ -65,26 +65,32 @@ def id_targets(sources: list[DataFrame]) -> DataFrame:
     return first_by(ranked.where("target is not null and target != ''"), ["target"], ["rank", "entity_id"]).drop("rank")
 
 
-def alias_closure(links: DataFrame, spark: SparkSession, max_depth: int = 64) -> DataFrame:
+def alias_closure(links: DataFrame, spark: SparkSession, max_depth: int | None = None) -> DataFrame:
     """alias, target, depth, is_cycle: where each alias ends.
 
     ``links``: alias, target, at most one per alias (the smallest target
     counts).  Paths are shortened by doubling, so a chain of n links takes
-    log2(n) joins; what has not ended after ``max_depth`` links is a cycle.
-    Null and blank aliases are left out.
+    log2(n) joins, until nothing moves.  What still moves after as many links
+    as there are aliases runs into a cycle, and has a target and depth on its
+    way; a ``max_depth`` calls a cycle what moves after so many.  Null and
+    blank aliases are left out.
     """
     links = links.where("alias is not null and trim(alias) != '' and target is not null")
     now = links.groupBy("alias").agg(F.min("target").alias("target")).withColumn("depth", F.lit(1).cast("bigint"))
-    now, step = cut_lineage(now), 1
-    while step < max_depth:
+    now, step = cut_lineage(now.withColumn("is_cycle", F.lit(False))), 1
+    n_aliases = now.count()
+    longest = n_aliases if max_depth is None else min(n_aliases, max_depth)
+    while True:
         ahead = now.select(F.col("alias").alias("target"), F.col("target").alias("__next"), F.col("depth").alias("__d"))
         joined = lookup_join(now, ahead, ["target"], ["alias"], "left").select(
             "alias", F.coalesce("__next", "target").alias("target"),
             (F.col("depth") + F.coalesce("__d", F.lit(0).cast("bigint"))).alias("depth"),
+            F.col("__next").isNotNull().alias("is_cycle"),  # it moved, though it had gone ``step`` links
         )
         now = cut_lineage(joined)  # a step uses the one before it several times
+        if step >= longest or now.where("is_cycle").isEmpty():
+            return now
         step *= 2
-    return now.withColumn("is_cycle", F.col("depth") >= max_depth)
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -261,7 +261,7 @@ def missing_fields(spark, d):
 
 def alias_closure(spark, d):
     links = table(spark, d, "id_aliases").select(F.col("alias_id").alias("alias"), F.col("canonical_id").alias("target"))
-    return resolve.alias_closure(links, spark, 16)
+    return resolve.alias_closure(links, spark)
 
 
 def alias_parity(spark, d):

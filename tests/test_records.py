@@ -201,6 +201,23 @@ def test_alias_closure_and_numbering(spark):
         assert [n for _, n in mine] == list(range(1, len(mine) + 1))
 
 
+def test_alias_closure_walks_chains_of_any_length(spark, tmp_path):
+    links = {f"{n}-{i}": f"{n}-{i + 1}" for n in (1, 2, 15, 16, 17, 33, 100) for i in range(n)}
+    links |= {f"c{n}-{i}": f"c{n}-{(i + 1) % n}" for n in (1, 2, 3, 16) for i in range(n)} | {"in": "way", "way": "c3-1", "side": "100-50"}
+    spark.createDataFrame(list(links.items()), "alias_id string, canonical_id string").write.parquet(str(tmp_path / "id_aliases.parquet"))
+    got = {r.alias: (r.target, r.depth, r.is_cycle) for r in reference_queries.alias_closure(spark, str(tmp_path)).collect()}
+    assert set(got) == set(links)
+    for alias, (target, depth, is_cycle) in got.items():
+        at, seen = alias, set()
+        while at in links and at not in seen:
+            seen.add(at)
+            at = links[at]
+        assert is_cycle == (at in links) and (is_cycle or (target, depth) == (at, len(seen)))
+    chain = spark.createDataFrame([(f"{i}", f"{i + 1}") for i in range(3)], "alias string, target string")
+    assert {r.alias: (r.target, r.depth, r.is_cycle) for r in resolve.alias_closure(chain, spark).collect()}["0"] == ("3", 3, False)
+    assert resolve.alias_closure(chain.limit(0), spark).count() == 0
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "b"), (2, "a")], "n int, k string")
     assert sorted((str(r.k), r.n_rows) for r in resolve.duplicates(df, ["k"]).collect()) == [("None", 2), ("a", 3)]
