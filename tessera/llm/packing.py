@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -84,21 +85,22 @@ def best_pattern(value: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[
 
 
 def fractional_patterns(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120, rate: float = 0.5
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None, rate: float = 0.5
 ) -> list[tuple[dict[int, int], float]]:
     """Patterns and fractional counts that cover each length's count, by multiplicative weights.
 
     Weights start at the share of the capacity that a length takes.  A round
     uses its pattern as often as its scarcest length allows (a fraction of the
     need), and multiplies the weight of each length by exp(-rate * the part of
-    its need that the round covered).  Counts are scaled so that no length is
-    covered more than needed.
+    its need that the round covered).  No length is covered more than needed.
+    Rounds go on until every need is covered, some four per length at most, or
+    for as many as ``rounds``.
     """
     need = counts.astype(float)
     log_weight = np.log(lengths / capacity)
     covered = np.zeros(len(lengths))
     used: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         open_ = covered < need * (1 - 1e-9)
         if not open_.any():
             break
@@ -136,7 +138,7 @@ def _longest_first(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list
 
 
 def integral_patterns(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 120
+    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int | None = None
 ) -> list[tuple[dict[int, int], int]]:
     """Patterns (length index: copies) and whole counts that hold every item exactly once.
 

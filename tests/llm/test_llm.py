@@ -219,6 +219,18 @@ def test_patterns_hold_every_item_once():
     assert sum(np.array([3.0, 4.0, 5.0])[k] * n for k, n in pattern.items()) == 10
 
 
+def test_fractional_patterns_cover_every_need():
+    rng = np.random.default_rng(9)
+    for top, n in ((300, 2000), (300, 40_000), (5, 20), (300, 1)):
+        lengths, counts = np.unique(rng.integers(1, top + 1, n), return_counts=True)
+        covered = np.zeros(len(lengths))
+        for pattern, x in packing.fractional_patterns(lengths, counts, 300):
+            assert x > 0 and sum(lengths[k] * c for k, c in pattern.items()) <= 300
+            for k, c in pattern.items():
+                covered[k] += x * c
+        assert np.allclose(covered, counts)
+
+
 def test_pack(spark):
     rng = random.Random(6)
     rows = [(k, 40 if k % 3 == 0 else rng.randrange(0, 260)) for k in range(600)] + [(900, None), (901, 100), (902, 1000), (3, 40)]
