@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions.norm import basename, normalized_ref, text_list
 from ..session import cut_lineage, lookup_join
 
@@ -136,3 +137,13 @@ def number_links(records: DataFrame, number: str, texts: DataFrame, text: str, r
     found = texts.select(row, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))).alias("__n"))
     known = records.where(F.trim(F.coalesce(F.col(number), F.lit(""))) != "").select("entity_id", F.trim(number).alias("__n")).distinct()
     return lookup_join(found, known, ["__n"], [row]).select(row, "entity_id").distinct()
+
+
+def needle_links(related: DataFrame, needles: list[str], text: str) -> DataFrame:
+    """Rows whose text has one of the needle columns in it, blanks removed and case folded.
+
+    ``related``: a record's text and a related record's numbers and title per
+    row, as the related records are few.  Blank needles and null texts link nothing.
+    """
+    one = lambda n: (markup.compacted(n) != "") & F.contains(markup.compacted(text), markup.compacted(n))
+    return related.where(reduce(lambda a, b: a | b, [F.coalesce(one(n), F.lit(False)) for n in needles]))

@@ -436,9 +436,7 @@ def plain_text(spark, d):
 def heading_anchors(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     heads = lines.where(F.col("line").rlike(r"^#{1,6} +[^ \r]"))
-    words = F.regexp_replace(F.lower(F.regexp_replace("line", r"^#{1,6} +", "")), "[^0-9a-z가-힣]+", "-")
-    words = F.regexp_replace(words, "^-+|-+$", "")
-    return heads.select("doc_id", "pos", F.when(words == "", "section").otherwise(words).alias("anchor"))
+    return heads.select("doc_id", "pos", text.heading_fragment(F.regexp_replace("line", r"^#{1,6} +", "")).alias("anchor"))
 
 
 def term_postings(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import quality, resolve, view
+from tessera.plans import reference_queries
 
 
 def test_authorities(spark):
@@ -42,6 +43,17 @@ def test_numbers(spark):
     assert row.n == "2013다12" and row.s == ["feat", "Why", "How to"]
 
 
+def test_needles_and_heading_anchors(spark, tmp_path):
+    rows = [(1, "see 2013 다 12", "2013다12", None, None), (2, "the CIVIL  Code, art. 1", "", " ", "Civil code"), (3, "Strasse", None, None, "STRAßE"), (4, None, "1", "1", "1"), (5, "other", "", None, "2013"), (6, "no. A-7", None, "a - 7", "x")]
+    related = spark.createDataFrame(rows, "row int, t string, case_number string, document_number string, title string")
+    got = resolve.needle_links(related, ["case_number", "document_number", "title"], "t")
+    assert sorted(r.row for r in got.collect()) == [1, 2, 3, 6]
+    heads = "# [[page#x|My label]]\n## [link](http://u) `a`<br>b\n### **!**\nno\n# Plain\r"
+    spark.createDataFrame([(1, heads)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.pos: r.anchor for r in reference_queries.heading_anchors(spark, str(tmp_path)).collect()}
+    assert found == {0: "my-label", 1: "link-a-b", 2: "section", 4: "plain"}
+
+
 def test_registry(spark):
     reg = spark.createDataFrame([("a", "p/a", []), ("b", "p/b", ["old"]), ("old", "p/o", None), ("gone", "p/g", [])], "id string, path string, aliases array<string>")
     now = spark.createDataFrame([("a", "p/a"), ("b", "q/b"), ("new", "p/n")], "id string, path string")
