@@ -93,6 +93,27 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p7_program(spark: SparkSession, d: str) -> DataFrame:
+    """How near the packing is to the best: lower bound, value of the linear program, containers that follow it."""
+    return packing.program_report(packing.token_items(table(spark, d, "documents")))
+
+
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Texts packed, and faults: containers over capacity, texts cut that fit, parts missing or twice."""
+    items = packing.token_items(table(spark, d, "documents"))
+    packed = packing.pack(items)
+    over = packed.groupBy("container").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > packing.CAPACITY).alias("n_overfull"))
+    by = packed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"))
+    fits = F.ceil(F.col("n_tokens") / packing.CAPACITY)
+    right = (F.col("size") == F.col("n_tokens")) & (F.col("parts") == fits) & (F.col("last") == F.col("parts") - 1)
+    both = items.join(by, "doc_id", "left").where("n_tokens > 0")
+    told = both.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(~F.coalesce(right, F.lit(False))).alias("n_wrong"))
+    rows = told.withColumn("n_overfull", F.lit(0).cast("bigint")).unionByName(
+        over.select(F.lit(0).cast("bigint").alias("n_texts"), F.lit(0).cast("bigint").alias("n_wrong"), "n_overfull")
+    )
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d))
 
@@ -137,6 +158,8 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_program": p7_program,
+    "p7_sound": p7_sound,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p9_found": p9_found,
@@ -145,5 +168,6 @@ QUERIES = {
 }
 
 SQL = {
+    "p7_sound": "select count(*) as n_texts, 0 as n_wrong, 0 as n_overfull from documents where length(text) > 0",
     "p5_found": "select chunk_row from chunks where length(content) > 1200",
 }

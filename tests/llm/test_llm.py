@@ -203,7 +203,7 @@ def test_patterns_hold_every_item_once():
     for top, n in ((100, 3000), (7, 50), (100, 1)):
         items = rng.integers(1, top + 1, n)
         lengths, counts = np.unique(items, return_counts=True)
-        patterns = packing.integral_patterns(lengths, counts, 100)
+        patterns = packing.integral_patterns(lengths, counts, 100).patterns
         held = np.zeros(len(lengths), int)
         for pattern, times in patterns:
             assert sum(lengths[k] * c for k, c in pattern.items()) <= 100 and times > 0
@@ -214,8 +214,15 @@ def test_patterns_hold_every_item_once():
         assert bound <= sum(t for _, t in patterns) <= bound * 1.03 + 1
     # Halves and thirds: an optimum that the longest-first rule misses.
     lengths, counts = np.array([34, 35, 51]), np.array([100, 100, 100])
-    assert sum(t for _, t in packing.integral_patterns(lengths, counts, 120)) <= 105
-    pattern = packing.best_pattern(np.array([3.0, 4.0, 5.0]), np.array([3, 4, 6]), 10)
+    assert packing.integral_patterns(lengths, counts, 120).containers <= 105
+    lengths, counts = np.array([23, 26, 27, 51]), np.array([12, 6, 6, 6]) * 1000
+    plain = packing._longest_first(lengths, counts.copy(), 100)
+    found = packing.integral_patterns(lengths, counts, 100)
+    assert found.containers == 9000 < sum(t for _, t in plain) and found.from_program == 9000
+    value, lengths = np.array([3.0, 4.0, 5.0]), np.array([3, 4, 6])
+    table = packing.value_table(value, lengths, 10)
+    assert table.tolist() == [0, 0, 0, 3, 4, 4, 6, 7, 8, 9, 10]
+    pattern = packing.best_pattern(value, table, lengths)
     assert sum(np.array([3.0, 4.0, 5.0])[k] * n for k, n in pattern.items()) == 10
 
 
@@ -224,11 +231,14 @@ def test_fractional_patterns_cover_every_need():
     for top, n in ((300, 2000), (300, 40_000), (5, 20), (300, 1)):
         lengths, counts = np.unique(rng.integers(1, top + 1, n), return_counts=True)
         covered = np.zeros(len(lengths))
-        for pattern, x in packing.fractional_patterns(lengths, counts, 300):
+        program = packing.fractional_patterns(lengths, counts, 300)
+        for pattern, x in program.patterns + program.own:
             assert x > 0 and sum(lengths[k] * c for k, c in pattern.items()) <= 300
             for k, c in pattern.items():
                 covered[k] += x * c
-        assert np.allclose(covered, counts)
+        assert (covered >= counts * (1 - 1e-9)).all()
+        assert np.isclose(sum(x for _, x in program.patterns + program.own), program.value)
+        assert (lengths * counts).sum() / 300 <= program.value and program.bound <= program.value <= program.bound * 1.03 + 1e-9
 
 
 def test_pack(spark):
@@ -253,6 +263,15 @@ def test_pack(spark):
         bins[k : k + 1] = [(bins[k] if k < len(bins) else 0) + size]
     assert len(filled) <= len(bins)
     assert packing.pack(df.limit(0)).count() == 0
+    assert packing.program_report(df.limit(0)).first().n_containers == 0
+    told = packing.program_report(df, capacity=100).first()
+    assert told.n_containers == len(filled) and told.lower_bound <= told.program_value <= told.lower_bound * 1.03 + 1e-9
+    packing.ROWS_PER_SALT, before = 10, packing.ROWS_PER_SALT  # frequent lengths in several tasks
+    try:
+        salted = packing.pack(df, capacity=100).groupBy("container").agg(F.sum("size").alias("n"), F.count("*").alias("c")).collect()
+    finally:
+        packing.ROWS_PER_SALT = before
+    assert len(salted) == len(filled) and max(r.n for r in salted) <= 100 and sum(r.c for r in salted) == len(out)
     report = packing.fill_report(packing.pack(df, capacity=100), 100).first()
     assert report.n_containers == len(filled) and report.n_items == len(out)
 
