@@ -2,10 +2,12 @@
 
 Names and values are compared as their letters and digits in lower case.  A
 multi-pattern automaton over all canonical names finds embedded mentions; the
-longest non-overlapping one wins.  A value without a mention is compared with
-every name by token-set similarity (tokens may be misspelt or in another
-order), by the edit distance of the best-fitting stretch (blanks may be wrong)
-and as an abbreviation.  A value that nothing fits stays 'unmatched'.
+longest one wins.  A value without a mention is compared by token-set
+similarity: a name's tokens, in any order, are laid on the stretches of the
+value's letters that fit them best, so that misplaced blanks, misspelt and
+cut tokens cost only the letters concerned.  A second automaton over pieces of
+the tokens says which names can come near a value at all; the others are
+never compared with it.  A value that nothing fits stays 'unmatched'.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from ..session import lookup_join
 from . import codepoints
 
 UNMATCHED = "unmatched"
-#: Share of a name's letters that may be edited (one of three at least), also in a much longer value, and least token-set similarity.
-EDITS, EDITS_IN_LONG, TOKEN_SET = 0.3, 0.12, 0.8
+#: Share of a name's letters that may be edited (one of three at least), also in a much longer value.
+EDITS, EDITS_IN_LONG = 0.3, 0.12
 #: A value much longer than a name has more than twice its letters and these.
 LONG_BY = 8
-#: An abbreviation has at least these letters and this share of the name, and few letters follow it.
-PREFIX_LETTERS, PREFIX_SHARE, PREFIX_REST = 6, 0.5, 6
+#: A token may be cut to its first letters at the value's end; each letter cut costs a part of an edit.
+#: So many letters of it stay at least, and so many and this share of the whole name.
+CUT_LETTERS, CUT_COST, CUT_NAME_LETTERS, CUT_SHARE = 4, 0.3, 6, 0.5
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -82,6 +85,33 @@ def edit_distances(texts: list[str], pattern: str, free_ends: bool) -> np.ndarra
     return np.where(beyond, np.int32(1 << 30), last).min(axis=0)
 
 
+def pieces(parts: list[str], edits: int) -> set[str]:
+    """Stretches of a name's tokens of which one is left whole by so many edits.
+
+    Each edit touches one stretch only: for a swap across the border of two,
+    both are also listed with the neighbour's letter.
+    """
+    size = max(1, sum(map(len, parts)) // (edits + 1))
+    out: set[str] = set()
+    for part in parts:
+        n = -(-len(part) // size)
+        at = [len(part) * k // n for k in range(n + 1)]
+        for a, b in zip(at, at[1:], strict=False):
+            heads = {part[a : a + 1]} | ({part[a - 1]} if a else set())
+            tails = {part[b - 1 : b]} | ({part[b]} if b < len(part) else set())
+            if b - a == 1:
+                out |= heads | tails
+            else:
+                out |= {h + part[a + 1 : b - 1] + t for h in heads for t in tails}
+        if len(part) > CUT_LETTERS:
+            out.add(part[:CUT_LETTERS])
+    return out
+
+
+def allowed_edits(letters: int) -> int:
+    return max(int(EDITS * letters), int(letters >= 3))
+
+
 class Matcher:
     """Names of a reference list, ready for batches of values."""
 
@@ -92,26 +122,38 @@ class Matcher:
         kept = [(i, n, f) for (i, n), f in zip(names, forms, strict=True) if f]
         self.ids = [i for i, _, _ in kept]
         self.forms = [f for _, _, f in kept]
-        self.tokens = [list(dict.fromkeys(tokens(n))) for _, n, _ in kept]
-        self.automaton = ahocorasick.Automaton()
-        for i, _, form in kept:
+        self.parts: list[str] = []
+        self.tokens: list[list[int]] = []  # of each name, its distinct tokens
+        place: dict[str, int] = {}
+        self.automaton, self.near = ahocorasick.Automaton(), ahocorasick.Automaton()
+        of_piece: dict[str, list[int]] = {}
+        for c, (i, n, form) in enumerate(kept):
             if form not in self.automaton:  # of equal names the smallest id counts
                 self.automaton.add_word(form, (len(form), i))
+            own = [t for t in compact(tokens(n)) if t] or [form]
+            own = list(dict.fromkeys(own))
+            self.tokens.append([place.setdefault(t, len(place)) for t in own])
+            for piece in pieces(own, allowed_edits(sum(map(len, own)))):
+                of_piece.setdefault(piece, []).append(c)
+        self.parts = list(place)
+        for piece, at in of_piece.items():
+            self.near.add_word(piece, np.array(at))
         if kept:
             self.automaton.make_automaton()
-
-    def mention(self, form: str) -> str | None:
-        """Id of the longest of the non-overlapping mentions; of equally long ones the first."""
-        best: tuple[int, str] | None = None
-        for _, (size, name_id) in self.automaton.iter_long(form):
-            if best is None or size > best[0]:
-                best = size, name_id
-        return best and best[1]
-
-    def match(self, values: list[str]) -> list[tuple[str, float]]:
-        """(canonical id or 'unmatched', similarity) of each value; 1 for a mention."""
+            self.near.make_automaton()
+
+    def mention(self, form: str) -> tuple[int, int, str] | None:
+        """(letters, place, id) of the longest mention; of equally long ones the first."""
+        best: tuple[int, int, str] | None = None
+        for end, (size, name_id) in self.automaton.iter(form):
+            if best is None or (-size, end - size) < (-best[0], best[1]):
+                best = size, end - size + 1, name_id
+        return best
+
+    def match(self, values: list[str]) -> list[tuple[str, float, int, int]]:
+        """(canonical id or 'unmatched', similarity, letters and place of the mention or 0) of each value."""
         forms = compact(values)
-        out: list[tuple[str, float]] = [(UNMATCHED, 0.0)] * len(values)
+        out: list[tuple[str, float, int, int]] = [(UNMATCHED, 0.0, 0, 0)] * len(values)
         if not self.forms:
             return out
         rest = []
@@ -119,7 +161,7 @@ class Matcher:
             if not form:
                 continue
             if found := self.mention(form):
-                out[k] = found, 1.0
+                out[k] = found[2], 1.0, found[0], found[1]
             else:
                 rest.append(k)
         rest.sort(key=lambda k: len(forms[k]))
@@ -128,78 +170,65 @@ class Matcher:
             b = a + 1
             while b < len(rest) and b - a < 2048 and len(forms[rest[b]]) * (b - a) < 400_000:
                 b += 1
-            for k, found in zip(rest[a:b], self._similar([values[k] for k in rest[a:b]], [forms[k] for k in rest[a:b]]), strict=True):
-                out[k] = found
+            for k, found in zip(rest[a:b], self._similar([forms[k] for k in rest[a:b]]), strict=True):
+                out[k] = *found, 0, 0
             a = b
         return out
 
-    def _similar(self, values: list[str], forms: list[str]) -> list[tuple[str, float]]:
-        score = np.zeros((len(values), len(self.forms)))
-        size = np.array([len(f) for f in forms])
-        for c, name in enumerate(self.forms):
-            m = len(name)
-            distance = edit_distances(forms, name, free_ends=True)
-            allowed = np.where(size > 2 * m + LONG_BY, int(EDITS_IN_LONG * m), max(int(EDITS * m), int(m >= 3)))
-            score[:, c] = np.where(distance <= allowed, 1 - distance / m, 0)
-        np.maximum(score, self._token_sets(values), out=score)
+    def near_names(self, form: str) -> np.ndarray:
+        """Names of which the form holds a piece."""
+        hits = {id(at): at for _, at in self.near.iter(form)}
+        return np.unique(np.concatenate(list(hits.values()))) if hits else np.zeros(0, int)
+
+    def _similar(self, forms: list[str]) -> list[tuple[str, float]]:
+        """Id and token-set similarity of each form's nearest name, compared only with names it shares a piece with."""
+        asked: dict[int, list[int]] = {}  # token: forms to lay it on
+        near = []
+        for k, form in enumerate(forms):
+            near.append(self.near_names(form))
+            for t in {t for c in near[k] for t in self.tokens[c]}:
+                asked.setdefault(t, []).append(k)
+        cost: dict[tuple[int, int], float] = {}
+        cut: dict[tuple[int, int], int] = {}  # letters of a token that a value's end leaves off
+        for t, at in asked.items():
+            part = self.parts[t]
+            far = edit_distances([forms[k] for k in at], part, free_ends=True)
+            for k, d in zip(at, far, strict=True):
+                cost[k, t] = min(int(d), len(part))
+                if d:
+                    kept = next((n for n in range(len(part) - 1, CUT_LETTERS - 1, -1) if forms[k].endswith(part[:n])), 0)
+                    if kept and CUT_COST * (len(part) - kept) < d:
+                        cut[k, t] = len(part) - kept
         out = []
         for k, form in enumerate(forms):
-            c = int(score[k].argmax())
-            if score[k, c] > 0:
-                out.append((self.ids[c], float(score[k, c])))
-            else:
-                out.append(self._abbreviated(form))
+            best = (0.0, UNMATCHED)
+            for c in near[k]:
+                own = self.tokens[c]
+                m = sum(len(self.parts[t]) for t in own)
+                edits = sum(cost[k, t] for t in own)
+                off = max((t for t in own if (k, t) in cut), key=lambda t: cost[k, t] - CUT_COST * cut[k, t], default=None)
+                if off is not None and m - cut[k, off] >= max(CUT_NAME_LETTERS, CUT_SHARE * m):
+                    edits += CUT_COST * cut[k, off] - cost[k, off]
+                limit = int(EDITS_IN_LONG * m) if len(form) > 2 * m + LONG_BY else allowed_edits(m)
+                if edits <= limit and (-(1 - edits / m), self.ids[c]) < (-best[0], best[1]):
+                    best = 1 - edits / m, self.ids[c]
+            out.append((best[1], best[0]))
         return out
 
-    def _token_sets(self, values: list[str]) -> np.ndarray:
-        """Share of each name's letters whose tokens the value has, misspelt tokens in part; 0 below TOKEN_SET."""
-        own = [list(dict.fromkeys(tokens(v))) for v in values]
-        words = sorted({t for ts in own for t in ts if len(t) <= 64})
-        place = {w: k for k, w in enumerate(words)}
-        parts = sorted({t for ts in self.tokens for t in ts})
-        alike = np.zeros((len(parts), len(words) + 1))
-        for p, part in enumerate(parts):
-            far = edit_distances(words, part, free_ends=False)
-            longest = np.array([max(len(part), len(w)) for w in words])
-            alike[p, : len(words)] = np.maximum(0, 1 - far / np.maximum(longest, 1))
-        alike[alike < 0.5] = 0
-        part_place = {t: k for k, t in enumerate(parts)}
-        width = max((len(ts) for ts in self.tokens), default=1)
-        index = np.zeros((len(self.tokens), width), dtype=int)
-        weight = np.zeros((len(self.tokens), width))
-        for c, ts in enumerate(self.tokens):
-            for w, t in enumerate(ts):
-                index[c, w], weight[c, w] = part_place[t], len(t)
-        weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1)
-        score = np.zeros((len(values), len(self.tokens)))
-        for k, ts in enumerate(own):
-            at = [place[t] for t in ts if t in place]
-            if at:
-                score[k] = (alike[:, at].max(axis=1)[index] * weight).sum(axis=1)
-        score[score < TOKEN_SET] = 0
-        return score
-
-    def _abbreviated(self, form: str) -> tuple[str, float]:
-        fits: dict[str, float] = {}
-        for name_id, name in zip(self.ids, self.forms, strict=True):
-            n = 0
-            while n < min(len(form), len(name)) and form[n] == name[n]:
-                n += 1
-            if n >= max(PREFIX_LETTERS, PREFIX_SHARE * len(name)) and len(form) - n <= PREFIX_REST:
-                fits[name_id] = max(fits.get(name_id, 0), n / len(name))
-        return next(iter(fits.items())) if len(fits) == 1 else (UNMATCHED, 0.0)
-
-
-_MATCHED = "list_name string, value string, canonical_id string, similarity double"
+
+_MATCHED = "list_name string, value string, canonical_id string, similarity double, mention int, place int"
 
 
 def match_values(values: DataFrame, names: DataFrame, block: int = 20_000) -> DataFrame:
-    """list_name, value, canonical_id, similarity of every distinct value.
+    """list_name, value, canonical_id, similarity, way of every distinct value.
 
     ``values``: list_name, value.  ``names``: list_name, canonical_id, name.
-    Null and blank values are left out.  Of equally similar names the first in
-    the order of ids wins.  The names go to the tasks in blocks of at most
-    ``block`` names, each compared with all values; the best of the blocks wins.
+    Null and blank values are left out.  The longest mention wins, of equally
+    long ones the first; without a mention the most similar name; of equals
+    the first in the order of ids.  ``way`` is mention, token_set or none.
+    The names go to the tasks in blocks of at most ``block`` names; a block's
+    answers carry all that the choice looks at, so that the number of blocks
+    changes nothing.
     """
     values = values.select("list_name", "value").where(F.coalesce(reference_key("value"), F.lit("")) != "").distinct()
     names = names.select("list_name", "canonical_id", "name").distinct()
@@ -217,26 +246,27 @@ def match_values(values: DataFrame, names: DataFrame, block: int = 20_000) -> Da
             matchers = {n: Matcher(x) for n, x in lists.items()}
             for batch in batches:
                 names_, texts = (c.to_pylist() for c in batch.columns)
-                result: list = [(UNMATCHED, 0.0)] * len(texts)
+                result: list = [(UNMATCHED, 0.0, 0, 0)] * len(texts)
                 for n, matcher in matchers.items():
                     at = [i for i, x in enumerate(names_) if x == n]
                     for i, r in zip(at, matcher.match([texts[i] for i in at]), strict=True):
                         result[i] = r
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([r[0] for r in result], pa.string()), pa.array([r[1] for r in result])],
-                    names=["list_name", "value", "canonical_id", "similarity"],
-                )
+                ids, similarity, mention, start = zip(*result, strict=True) if result else ((), (), (), ())
+                more = [pa.array(ids, pa.string()), pa.array(similarity, pa.float64()), pa.array(mention, pa.int32()), pa.array(start, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[x.split()[0] for x in _MATCHED.split(", ")])
 
         one = values.mapInArrow(run, _MATCHED)
         found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    best = F.max_by(F.struct("canonical_id", "similarity"), F.struct("similarity", F.col("canonical_id") != UNMATCHED))
-    return found.groupBy("list_name", "value").agg(best.alias("b")).select("list_name", "value", "b.*")
+    if blocks > 1:
+        order = F.struct(-F.col("mention"), "place", -F.col("similarity"), F.col("canonical_id") == UNMATCHED, "canonical_id")
+        best = F.min_by(F.struct("canonical_id", "similarity", "mention"), order)
+        found = found.groupBy("list_name", "value").agg(best.alias("b")).select("list_name", "value", "b.*")
+    way = F.when(F.col("mention") > 0, "mention").when(F.col("canonical_id") != UNMATCHED, "token_set").otherwise("none")
+    return found.select("list_name", "value", "canonical_id", "similarity", way.alias("way"))
 
 
 def canonical_entries(entries: DataFrame, names: DataFrame, row: str) -> DataFrame:
-    """row, field, pos, value, canonical_id, similarity of every entry that is no canonical id as stored.
+    """row, field, pos, value, canonical_id, similarity, way of every entry that is no canonical id as stored.
 
     ``entries``: row, field, pos, list_name, value.  Null and blank entries and
     those equal to an id of their list are left out; repeated rows come out each.
