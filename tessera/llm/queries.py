@@ -35,6 +35,10 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return names.look_groups(names.with_form(_names(spark, d), "value").where("form != ''"))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    return names.look_members(names.with_form(_names(spark, d), "value"))
+
+
 _ENTRY_FIELDS = {
     "verified_by": ("verified_by", "verifier"),
     "verifier_ids": ("verification.verifier_ids", "verifier"),
@@ -76,6 +80,11 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return lone.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_entries"))
 
 
+def p4_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Entries per field and way they were mapped: mention, token_set or none."""
+    return _entries(spark, d).groupBy("field", "way").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "chunks").select("chunk_row", "chunk_id", "heading", "content"))
 
@@ -152,8 +161,10 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_names": p3_names,
     "p3_groups": p3_groups,
+    "p3_members": p3_members,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p4_ways": p4_ways,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p7_containers": p7_containers,

@@ -69,6 +69,18 @@ def test_pairs_against_brute_force(spark):
         assert set(tuples(names.look_alike_pairs(formed, salt), "field", "key_a", "key_b")) == want
     assert names.look_alike_pairs(formed.limit(0)).count() == 0
     assert {r.n_spellings for r in names.look_groups(formed.where("form != ''")).collect()} <= set(range(2, 6))
+    members = {(r.field, r.key) for r in names.look_members(formed).collect()}
+    alike = {(f, k) for f, k, v in rows for g, b, w in rows if f == g and v and w and v != w and form[f, k, v] == form[g, b, w] != ""}
+    assert members == alike
+
+
+def test_many_equal_spellings_and_one_variant(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("t").alias("field"), F.col("id").alias("key"), F.lit("Façade").alias("value"))
+    rows = rows.unionByName(spark.createDataFrame([("t", n, "Fa\u0441ade".replace("c", "ç")), ("t", n + 1, "Faça\u0501e")], rows.schema))
+    pairs = names.look_alike_pairs(rows.withColumn("form", F.lit("Façade")))
+    told = pairs.agg(F.count("*"), F.count_distinct("key_a"), F.min("key_b")).first()
+    assert tuple(told) == (2 * n + 1, n + 1, n)
 
 
 def test_form_with_clashing_columns(spark):
@@ -96,8 +108,8 @@ def test_values(value, want):
 
 def test_longest_mention_wins():
     m = canonical.Matcher([("a", "review"), ("b", "review desk"), ("c", "desk two")])
-    assert m.match(["the review desk two"])[0] == ("b", 1.0)
-    assert canonical.Matcher([]).match(["x"]) == [("unmatched", 0.0)]
+    assert m.match(["the review desk two"])[0] == ("b", 1.0, 10, 3)
+    assert canonical.Matcher([]).match(["x"]) == [("unmatched", 0.0, 0, 0)]
     assert canonical.Matcher([("z", "same"), ("y", "same")]).match(["same"])[0][0] == "y"
 
 
@@ -120,6 +132,48 @@ def test_edit_distances(texts, pattern):
     assert all(g >= f for g, f in zip(got, free, strict=True)) and all(g <= len(pattern) for g in got)
 
 
+def _typed(rng, names):
+    """A value as someone may type it: tokens cut, swapped, misspelt, blanks moved, words around."""
+    parts = rng.choice(names).split()
+    if rng.random() < 0.3:
+        rng.shuffle(parts)
+    letters = list(" ".join(parts))
+    for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+        k = rng.randrange(len(letters))
+        kind = rng.randrange(4)
+        if kind == 0:
+            letters[k] = rng.choice("abcdef ")
+        elif kind == 1:
+            letters.insert(k, rng.choice("abcdef "))
+        elif kind == 2 and len(letters) > 3:
+            del letters[k]
+        elif k:
+            letters[k - 1], letters[k] = letters[k], letters[k - 1]
+    return rng.choice(["", "", "by "]) + "".join(letters) + rng.choice(["", "", " signed"])
+
+
+def test_pieces_lose_no_name():
+    rng = random.Random(11)
+    for _ in range(30):
+        names = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))) for _ in range(12)]
+        matcher = canonical.Matcher([(f"id{k}", n) for k, n in enumerate(names)])
+        values = [_typed(rng, names) for _ in range(60)]
+        got = matcher.match(values)
+        matcher.near_names = lambda form, n=len(matcher.ids): np.arange(n)  # every name
+        assert got == matcher.match(values)
+
+
+def test_blocks_change_nothing(spark):
+    rng = random.Random(12)
+    names = [" ".join(rng.choice(["review", "desk", "north", "figures", "unit", "case", "room"]) for _ in range(rng.randrange(1, 4))) for _ in range(25)]
+    names = list(dict.fromkeys(names))
+    known = spark.createDataFrame([("l", f"id{k}", n) for k, n in enumerate(names)], "list_name string, canonical_id string, name string")
+    typed = [("l", _typed(rng, names)) for _ in range(300)] + [("l", "the review desk"), ("l", "room nobody")]
+    values = spark.createDataFrame(typed, "list_name string, value string")
+    cols = ("value", "canonical_id", "similarity", "way")
+    assert tuples(canonical.match_values(values, known, 20_000), *cols) == tuples(canonical.match_values(values, known, 4), *cols)
+
+
 def test_entries(spark):
     rows = [(k, "f", 0, "l", v) for k, v in enumerate(["north-desk", "North Desk", None, " ", "nobody", "x" * 30_000, "North Desk"])]
     entries = spark.createDataFrame(rows, "row int, field string, pos int, list_name string, value string")
