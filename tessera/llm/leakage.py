@@ -95,6 +95,8 @@ class Items:
         self.place = place[order]
         self.hash = grams[self.place] if len(place) else np.zeros(0, np.uint64)
         self.item = owner[self.place] if len(place) else np.zeros(0, np.int64)
+        self.runs = periodic_runs(self.hash, self.place, self.item, gram)
+        self.run_item = owner[self.runs[0]] if len(place) else self.item
 
     def common_run(self, text: np.ndarray, at: int, place: int, item: int) -> tuple[int, int]:
         """Letters of the common run before text[at] and the item's ``place``, and from there on."""
@@ -121,23 +123,63 @@ class Items:
         for r in np.unique(row[found]):
             text = chars[offsets[r] : offsets[r + 1]]
             own = grams[offsets[r] : offsets[r] + len(text) - self.gram + 1]
-            covered: dict[tuple[int, int], int] = {}
-            for at in np.flatnonzero(np.isin(own, wanted)):
-                a = np.searchsorted(self.hash, own[at])
-                b = np.searchsorted(self.hash, own[at], side="right")
+            at = np.flatnonzero(np.isin(own, wanted))
+            at = at[np.argsort(own[at], kind="stable")]
+            ours = periodic_runs(own[at], at, np.zeros(len(at), np.int64), self.gram)
+            covered: dict[tuple[int, int], tuple[int, int]] = {}  # of a diagonal, the last run looked at
+            for first, last, step, value in sorted(zip(*ours, strict=True)):
+                a = np.searchsorted(self.runs[3], value)
+                b = np.searchsorted(self.runs[3], value, side="right")
                 for k in range(a, b):
-                    item, place = int(self.item[k]), int(self.place[k])
-                    line = (item, place - int(at))
-                    if covered.get(line, -1) >= at:
-                        continue
-                    before, after = self.common_run(text, int(at), place, item)
-                    run = before + after
-                    covered[line] = int(at) + after
-                    if run >= self.span and run > best.get((int(r), item), 0):
-                        best[int(r), item] = run
+                    item = int(self.run_item[k])
+                    for x, y in run_hits(first, last, step, int(self.runs[0][k]), int(self.runs[1][k]), int(self.runs[2][k])):
+                        line = (item, y - x)
+                        start, stop = covered.get(line, (0, 0))
+                        if start <= x < stop:
+                            continue
+                        before, after = self.common_run(text, x, y, item)
+                        covered[line] = x - before, x + after
+                        if before + after >= self.span and before + after > best.get((int(r), item), 0):
+                            best[int(r), item] = before + after
         return [(r, item, run) for (r, item), run in best.items()]
 
 
+def periodic_runs(value: np.ndarray, place: np.ndarray, owner: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """(first, last, step, value) of places of one gram that follow each other at one step of at most ``gram``.
+
+    Sorted by value, owner and place on input.  Such places lie in a stretch
+    that repeats itself with that period; a place of its own is a run too.
+    """
+    if not len(place):
+        return place, place, place, value
+    gap = np.diff(place)
+    joined = (np.diff(owner) == 0) & (value[1:] == value[:-1]) & (gap <= gram)
+    same = joined.copy()
+    same[1:] &= ~joined[:-1] | (gap[1:] == gap[:-1])
+    first = np.flatnonzero(np.append(True, ~same))
+    last = np.append(first[1:], len(place)) - 1
+    step = np.where(last > first, np.append(gap, 0)[np.minimum(first, len(gap))], 0)
+    return place[first], place[last], step, value[first]
+
+
+def run_hits(a0: int, a1: int, step_a: int, b0: int, b1: int, step_b: int) -> list[tuple[int, int]]:
+    """Places of two runs of one gram whose extensions hold the longest common run.
+
+    Of two stretches with one period, a common run that goes beyond a stretch
+    lies where their starts or their ends meet; a longest one inside starts
+    at the first place of one and at the first or second of the other.  Runs
+    of other steps are no two stretches of one period: all their places meet.
+    """
+    if step_a and step_b and step_a != step_b:
+        return [(a, b) for a in range(a0, a1 + 1, step_a) for b in range(b0, b1 + 1, step_b)]
+    hits = {(a0, b0), (a1, b1)}
+    if step_b:
+        hits.add((a0, b0 + step_b))
+    if step_a:
+        hits.add((a0 + step_a, b0))
+    return sorted(hits)
+
+
 def _bounded(items: DataFrame, limit_chars: int) -> bool:
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     return size <= limit_chars
@@ -216,19 +258,23 @@ def _leaked_by_shuffle(documents: DataFrame, items: DataFrame, span: int, gram:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for item_id, doc_id, item_text, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known = Items([item_id], [item_text], span, gram)
-                hits = known.leaks(*codepoints.letters_only(*codepoints.decode(pa.array([text], pa.string()))))
-                out += [(doc_id, item_id, n) for _, _, n in hits]
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())],
-                    names=["doc_id", "item_id", "run"],
-                )
+            # The batch's items are prepared once, and each of its texts is probed once with all of them.
+            items_of = list(dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+            texts_of = dict(zip(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True), batch.column(3).to_pylist(), strict=True))
+            known = Items([i for i, _ in items_of], [t for _, t in items_of], span, gram)
+            ids = pa.array([k[0] for k in texts_of], pa.int64())
+            texts = pa.array(list(texts_of.values()), pa.string())
+            for a, b in codepoints.slices(texts, 1 << 20):
+                hits = known.leaks(*codepoints.letters_only(*codepoints.decode(texts[a:b])))
+                if hits:
+                    row, item, length = (np.array(x) for x in zip(*hits, strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(row + a)), pa.array(known.ids[item]), pa.array(length.astype(np.int32))],
+                        names=["doc_id", "item_id", "run"],
+                    )
 
-    found = pairs.select("item_id", "doc_id", "item_text", "text").mapInArrow(run, _FOUND)
+    digest = F.xxhash64("text").alias("digest")  # rows may repeat an id with another text
+    found = pairs.select("item_id", "doc_id", "item_text", "text", digest).mapInArrow(run, _FOUND)
     return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))
 
 

@@ -427,6 +427,32 @@ def test_leak_behind_a_short_run_and_a_changed_letter():
         assert [(r, i, n) for r, i, n in got] == [(0, 0, longest_run(text, item))]
 
 
+def test_leaks_of_texts_that_repeat_themselves():
+    rng = random.Random(21)
+
+    def text():
+        out = ""
+        while len(out) < 70:
+            unit = "".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 3, 5, 7])))
+            out += (unit * 60)[: rng.randrange(1, 50)] + rng.choice(["", "", "c", "ab"])
+        return out
+
+    for _ in range(400):
+        doc, item = text(), text()
+        want = max(
+            (n for i in range(len(doc)) for j in range(len(item)) if (i == 0 or j == 0 or doc[i - 1] != item[j - 1])
+             for n in [next((k for k in range(min(len(doc) - i, len(item) - j)) if doc[i + k] != item[j + k]), min(len(doc) - i, len(item) - j))]),
+            default=0,
+        )
+        known = leakage.Items([7], [item], 40, 20)
+        got = known.leaks(*codepoints.letters_only(*codepoints.decode(pa.array([doc], pa.string()))))
+        assert got == ([(0, 0, want)] if want >= 40 else [])
+    known = leakage.Items([1, 2], ["a" * 20_000, "xy" * 20_000], 40, 20)
+    big = ["a" * 400_000 + "b", "b" + "xy" * 200_000]
+    got = known.leaks(*codepoints.letters_only(*codepoints.decode(pa.array(big, pa.string()))))
+    assert sorted(got) == [(0, 0, 20_000), (1, 1, 40_000)]
+
+
 def test_leak_behind_a_changed_letter_both_ways(spark):
     cases = substituted_cases(60)
     documents = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id bigint, text string")
