@@ -10,6 +10,7 @@ sentences of one language make a segment.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -328,21 +329,30 @@ def label_code(label):
 def fit_model(
     documents: DataFrame, column: str = "text", label: str = "lang", row: str = "doc_id", max_texts: int = 4000
 ) -> Model | None:
-    """Model from a sample of at most ``max_texts`` labelled texts, chosen by a hash of their ids.
+    """Model from a sample of at most ``max_texts`` labelled texts, an equal part per language, chosen by a hash of their ids.
 
-    The bound keeps the sample on the driver small at any size of the corpus;
-    it concerns the training only, never the texts that are labelled.
+    A language with few labelled texts takes part with all of them, however
+    large the corpus is; what it leaves of its part stays unused.  The bound
+    keeps the sample on the driver small at any size of the corpus; it concerns
+    the training only, never the texts that are labelled.
     """
-    total = documents.count()
-    share = min(1.0, max_texts / max(1, total))
-    sample = (
-        documents.where(F.pmod(F.xxhash64(row, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        .select(F.col(column).alias("text"), label_code(label).alias("code"))
-        .where(F.col("code").isin(*LANGUAGES) & F.col("text").isNotNull())
-        .limit(max_texts)
-        .collect()
-    )
-    return train([r["text"] for r in sample], [r["code"] for r in sample])
+    labelled = documents.select(F.col(row), F.col(column).alias("text"), label_code(label).alias("code"))
+    labelled = labelled.where(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
+    part = max_texts // len(LANGUAGES)
+    counts = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = 1 << 30
+    # Somewhat more than the part passes the hash, and the part's smallest hashes are taken of these.
+    limit = F.lit(0)
+    for code, n in sorted(counts.items()):
+        limit = F.when(F.col("code") == code, F.lit(min(scale, int(scale * (part + 4 * math.sqrt(part) + 4) / n)))).otherwise(limit)
+    place = F.pmod(F.xxhash64(row, F.lit("sample")), F.lit(scale))
+    sample = labelled.select("text", "code", place.alias("place")).where(F.col("place") < limit).collect()
+    chosen, taken = [], dict.fromkeys(counts, 0)
+    for r in sorted(sample, key=lambda r: (r["place"], r["code"], r["text"])):
+        if taken[r["code"]] < part:
+            taken[r["code"]] += 1
+            chosen.append(r)
+    return train([r["text"] for r in chosen], [r["code"] for r in chosen])
 
 
 def segment_batch(model: Model, chars: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:

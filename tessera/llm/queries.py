@@ -145,9 +145,15 @@ def p8_by_join(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+_MODELS: dict[tuple[str, str], language.Model | None] = {}
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return language.language_segments(documents, language.fit_model(documents))
+    place = spark.sparkContext.applicationId, d
+    if place not in _MODELS:  # fitted once a session for all queries over one folder
+        _MODELS[place] = language.fit_model(documents)
+    return language.language_segments(documents, _MODELS[place])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
