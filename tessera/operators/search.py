@@ -1,31 +1,46 @@
 """Text search: index tables, a match language, BM25, additive scores, paging.
 
-One scan computes the corpus statistics of the query's terms (a single row),
-one scan scores; terms are counted by string expressions on the folded text, so
-nothing but the scored rows is shuffled.
+A written index is searched through the postings of the query's terms.  A
+table without an index is searched by two scans: one computes the corpus
+statistics of the query's terms (a single row), one scores; terms are counted
+by string expressions on the folded text, so nothing but the scored rows is
+shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import search_hay, search_tokens
+from ..session import cut_lineage
 
+#: Buckets of a written index.
+BUCKETS = 64
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def postings(df: DataFrame, row: str, fields: list[str]) -> DataFrame:
-    """term, row, field, tf: how often each field of each row has a term."""
+    """term, row, field, tf, places: how often and where (from 0) each field of each row has a term."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), search_tokens(f).alias("t")) for f in fields])
+    tokens = df.select(row, F.explode(each).alias("e")).select(row, "e.field", F.posexplode("e.t").alias("place", "term"))
+    return tokens.groupBy("term", row, "field").agg(
+        F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("places")  # a field's own terms at most
+    )
+
+
+def term_counts(df: DataFrame, row: str, fields: list[str]) -> DataFrame:
+    """term, field, n_rows, tf: rows and occurrences of each term, without the places."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), search_tokens(f).alias("t")) for f in fields])
     tokens = df.select(row, F.explode(each).alias("e")).select(row, "e.field", F.explode("e.t").alias("term"))
-    return tokens.groupBy("term", row, "field").agg(F.count(F.lit(1)).alias("tf"))
+    by_row = tokens.groupBy("term", row, "field").agg(F.count(F.lit(1)).alias("tf"))
+    return by_row.groupBy("term", "field").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tf").alias("tf"))
 
 
 def _occurrences(hay: Column, needle: str) -> Column:
@@ -44,99 +59,153 @@ def document_stats(df: DataFrame, row: str, fields: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Phrase:
-    """One or more consecutive terms, the last perhaps a prefix, perhaps in one field only."""
+    """One or more consecutive terms, the last perhaps a prefix, perhaps in some fields only or at their start."""
 
     terms: tuple[str, ...]
     prefix: bool = False
-    field: str | None = None
+    fields: tuple[str, ...] | None = None
+    outside: bool = False  # the fields named are those left out
     first: bool = False
 
+    def within(self, field: str) -> bool:
+        return self.fields is None or (field in self.fields) != self.outside
+
 
-_LEX = re.compile(r'\s*(?:(?P<paren>[()])|(?P<field>\w+)\s*:|(?P<near>NEAR)\s*\(|"(?P<phrase>[^"]*)"(?P<star1>\s*\*)?|(?P<comma>,)|(?P<caret>\^)|(?P<word>[^\s()",*^]+)(?P<star2>\*)?)')
+_LEX = re.compile(r'\s*(?:"(?P<string>(?:[^"]|"")*)"|(?P<sign>[(){}:,*^+-])|(?P<word>\w+))')
+_OPERATORS = ("AND", "OR", "NOT")
 
 
 def parse_match(text: str) -> tuple:
     """Syntax tree of a query: ('and'|'or'|'not', a, b), ('near', phrases, distance) or ('phrase', Phrase).
 
-    Terms side by side mean AND; OR binds weaker than AND, AND weaker than NOT.
-    A query without any term is an error.
+    From the tightest to the loosest: phrases side by side (all of them must
+    match), NOT, AND, OR; NOT groups from the left.  Only phrases and NEAR
+    groups stand side by side: before and after a bracket an operator is due.
+    A field, a set of fields in braces or either with a minus before it, and a
+    colon, bind the phrase, NEAR group or bracket behind them.  A query
+    without any term is an error.
     """
-    items, at = [], 0
-    while at < len(text) and text[at:].strip():
+    items: list[tuple[str, str]] = []
+    at = 0
+    while text[at:].strip():
         m = _LEX.match(text, at)
         if not m:
             raise ValueError(f"query not understood at {text[at:]!r}")
-        items.append(m)
+        items.append((m.lastgroup or "", m[m.lastgroup or 0]))
         at = m.end()
     position = 0
 
-    def peek(*words: str) -> bool:
-        m = items[position] if position < len(items) else None
-        return bool(m) and (m["word"] in words or m["paren"] in words)
+    def kind(k: int = 0) -> str:
+        """'string', 'word', a sign or an operator; '' at the end."""
+        if position + k >= len(items):
+            return ""
+        group, value = items[position + k]
+        return value if group == "sign" or (group == "word" and value in _OPERATORS) else group
 
-    def primary() -> tuple:
+    def take(*wanted: str) -> str:
         nonlocal position
-        if position >= len(items):
-            raise ValueError("query ends too early")
-        m = items[position]
+        if kind() not in wanted:
+            raise ValueError(f"{' or '.join(wanted)} expected, {kind() or 'end'} found")
         position += 1
-        if m["paren"] == "(":
-            inner = either()
-            if not peek(")"):
-                raise ValueError("missing )")
-            position += 1
-            return inner
-        if m["near"]:
-            phrases, distance = [], 10
-            while not peek(")"):
-                part = items[position]
-                if part["comma"]:
-                    distance = int(items[position + 1]["word"])
-                    position += 2
-                else:
-                    phrases.append(primary()[1])
-            position += 1
-            return ("near", tuple(phrases), distance)
-        if m["field"]:
-            kind, phrase, *_ = primary()
-            return (kind, Phrase(phrase.terms, phrase.prefix, m["field"], phrase.first))
-        if m["caret"]:
-            kind, phrase, *_ = primary()
-            return (kind, Phrase(phrase.terms, phrase.prefix, phrase.field, True))
-        terms = tuple(_terms(m["phrase"] if m["phrase"] is not None else m["word"] or ""))
-        return ("phrase", Phrase(terms, bool(m["star1"] or m["star2"])))
-
-    def negated() -> tuple:
+        return items[position - 1][1]
+
+    def columns() -> tuple[tuple[str, ...], bool] | None:
+        """The fields before a colon, if the next items are such."""
         nonlocal position
-        left = primary()
-        while peek("NOT"):
+        start = position
+        outside = kind() == "-"
+        position += outside
+        names: list[str] = []
+        if kind() == "{":
+            position += 1
+            while kind() in ("word", "string"):
+                names.append(take("word", "string"))
+            take("}")
+        elif kind() in ("word", "string"):
+            names.append(take("word", "string"))
+        if names and kind() == ":":
             position += 1
-            left = ("not", left, primary())
-        return left
+            return tuple(names), outside
+        if outside:
+            raise ValueError("a field is due after -")
+        position = start
+        return None
 
-    def both() -> tuple:
+    def phrase(bound) -> Phrase:
         nonlocal position
-        left = negated()
-        while position < len(items) and not peek("OR", ")"):
-            if peek("AND"):
-                position += 1
-            left = ("and", left, negated())
-        return left
-
-    def either() -> tuple:
-        nonlocal position
-        left = both()
-        while peek("OR"):
+        first = kind() == "^"
+        position += first
+        terms = list(_terms(take("word", "string")))
+        prefix = kind() == "*"
+        position += prefix
+        while kind() == "+" and not prefix:
             position += 1
-            left = ("or", left, both())
-        return left
+            terms += _terms(take("word", "string"))
+            prefix = kind() == "*"
+            position += prefix
+        return Phrase(tuple(terms), prefix, *(bound or (None, False)), first)
 
+    def near(bound) -> tuple:
+        nonlocal position
+        if kind() == "word" and items[position] == ("word", "NEAR") and kind(1) == "(":
+            position += 2
+            phrases, distance = [phrase(bound)], 10
+            while kind() not in (",", ")"):
+                phrases.append(phrase(bound))
+            if take(",", ")") == ",":
+                distance = int(take("word"))
+                take(")")
+            return ("near", tuple(phrases), distance) if len(phrases) > 1 else ("phrase", phrases[0])
+        return ("phrase", phrase(bound))
+
+    def bind(tree: tuple, bound) -> tuple:
+        """A bracket's tree within the fields: a phrase of its own fields keeps what both allow."""
+        if tree[0] == "phrase":
+            return ("phrase", _bound(tree[1], bound))
+        if tree[0] == "near":
+            return ("near", tuple(_bound(p, bound) for p in tree[1]), tree[2])
+        return (tree[0], bind(tree[1], bound), bind(tree[2], bound))
+
+    def operand() -> tuple:
+        bound = columns()
+        if kind() == "(":
+            take("(")
+            inner = either()
+            take(")")
+            return bind(inner, bound) if bound else inner
+        tree = near(bound)
+        while kind() not in ("", ")", *_OPERATORS):
+            tree = ("and", tree, near(columns()))
+        return tree
+
+    def chain(operator: str, name: str, inner):
+        def read() -> tuple:
+            tree = inner()
+            while kind() == operator:
+                take(operator)
+                tree = (name, tree, inner())
+            return tree
+
+        return read
+
+    either = chain("OR", "or", chain("AND", "and", chain("NOT", "not", operand)))
     tree = either()
     if position != len(items):
-        raise ValueError("unbalanced query")
+        raise ValueError(f"{kind()} is out of place")
     return tree
 
 
+def _bound(phrase: Phrase, bound: tuple[tuple[str, ...], bool]) -> Phrase:
+    names, outside = bound
+    if phrase.fields is None:
+        return replace(phrase, fields=names, outside=outside)
+    if phrase.outside and outside:
+        return replace(phrase, fields=phrase.fields + names)
+    if phrase.outside:
+        return replace(phrase, fields=tuple(n for n in names if n not in phrase.fields), outside=False)
+    return replace(phrase, fields=tuple(n for n in phrase.fields if (n in names) != outside))
+
+
 def _terms(text: str) -> list[str]:
     """The index terms of a query text, as the tokeniser of the index makes them."""
     import unicodedata
@@ -160,29 +229,37 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
 
 
-def _near(hay: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
-    """Whether the phrases stand with at most ``distance`` tokens between the first and the last of them.
+def _together(places: list[Column], sizes: list[int], distance: int) -> Column:
+    """Whether one occurrence of each phrase lies within a span of their tokens and ``distance`` more.
 
-    A span begins at an occurrence of one phrase; each phrase must lie within it.
+    ``places``: per phrase the numbers of its first tokens.  A span begins at an occurrence of one of them.
     """
-    sizes = [len(p.terms) for p in phrases]
     reach = sum(sizes) + distance
+    inside = lambda at, a, n: F.exists(at, lambda s: (s >= a) & (s + n <= a + reach))
+    every = lambda a: reduce(lambda x, y: x & y, [inside(p, a, n) for p, n in zip(places, sizes, strict=True)])
+    return F.exists(F.flatten(F.array(*places)), every)
+
+
+def _near(hay: Column, phrases: tuple[Phrase, ...], distance: int) -> Column:
+    """Whether the phrases stand near each other in a folded text (see :func:`_together`)."""
 
     def starts(tokens: Column, p: Phrase) -> Column:
         n = len(p.terms)
-        hit = lambda i: F.slice(tokens, i + 1, n) == F.array(*map(F.lit, p.terms))
-        places = F.filter(F.sequence(F.lit(0), F.size(tokens) - n), hit)
-        return F.when(F.size(tokens) >= n, places).otherwise(F.array().cast("array<int>"))
+        whole = n - 1 if p.prefix else n
 
-    def inside(places: Column, a: Column, n: int) -> Column:
-        return F.exists(places, lambda s: (s >= a) & (s + n <= a + reach))
+        def hit(i: Column) -> Column:
+            same = F.slice(tokens, i + 1, whole) == F.array(*map(F.lit, p.terms[:whole])) if whole else F.lit(True)
+            return same & F.startswith(F.element_at(tokens, i + n), F.lit(p.terms[-1])) if p.prefix else same
 
-    def together(at: Column) -> Column:
-        every = lambda a: reduce(lambda x, y: x & y, [inside(at[k], a, n) for k, n in enumerate(sizes)])
-        return F.exists(F.flatten(at), every)
+        places = F.filter(F.sequence(F.lit(0), F.size(tokens) - n), hit)
+        if p.first:
+            places = F.filter(places, lambda i: i == 0)
+        return F.when(F.size(tokens) >= n, places).otherwise(F.array().cast("array<int>"))
 
     # Only texts with all phrases are looked at token by token.
     some = reduce(lambda x, y: x & y, [phrase_count(hay, p) > 0 for p in phrases])
+    sizes = [len(p.terms) for p in phrases]
+    together = lambda at: _together([at[k] for k in range(len(phrases))], sizes, distance)
     spans = _let(F.split(F.trim(hay), "  "), lambda t: _let(F.array(*[starts(t, p) for p in phrases]), together))
     return F.when(some, spans).otherwise(F.lit(False))
 
@@ -198,17 +275,28 @@ def tokenised(df: DataFrame, fields: list[str]) -> tuple[DataFrame, dict[str, Co
     return df.select("*", folded), {f: F.col(n) for f, n in names.items()}
 
 
+def _evaluated(tree: tuple, fields: list[str], has, near) -> Column:
+    """A tree as a condition; ``has(phrase, field)`` and ``near(phrases, distance, field)`` decide its leaves."""
+    some = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    if tree[0] == "phrase":
+        return some([has(tree[1], f) for f in fields if tree[1].within(f)])
+    if tree[0] == "near":
+        return some([near(tree[1], tree[2], f) for f in fields if all(p.within(f) for p in tree[1])])
+    a, b = (_evaluated(t, fields, has, near) for t in tree[1:])
+    return a & b if tree[0] == "and" else a | b if tree[0] == "or" else a & ~b
+
+
 def matches(tree: tuple, fields: dict[str, Column]) -> Column:
     """Whether a row matches a parsed query; ``fields``: folded texts by name (see :func:`tokenised`)."""
-    kind = tree[0]
-    if kind == "phrase":
-        phrase = tree[1]
-        chosen = [fields[phrase.field]] if phrase.field else list(fields.values())
-        return reduce(lambda a, b: a | b, [phrase_count(t, phrase) > 0 for t in chosen])
-    if kind == "near":
-        return reduce(lambda a, b: a | b, [_near(t, tree[1], tree[2]) for t in fields.values()])
-    a, b = matches(tree[1], fields), matches(tree[2], fields)
-    return a & b if kind == "and" else a | b if kind == "or" else a & ~b
+    return _evaluated(
+        tree, list(fields), lambda p, f: phrase_count(fields[f], p) > 0, lambda ps, n, f: _near(fields[f], ps, n)
+    )
+
+
+def every_phrase(tree: tuple) -> list[Phrase]:
+    if tree[0] in ("phrase", "near"):
+        return phrases_of(tree)
+    return every_phrase(tree[1]) + every_phrase(tree[2])
 
 
 def phrases_of(tree: tuple) -> list[Phrase]:
@@ -233,21 +321,100 @@ def bm25(df: DataFrame, query: str, weights: dict[str, float], score: str = "ran
     size = reduce(lambda a, b: a + b, [token_count(t) for t in fields.values()])
 
     def hits(p: Phrase) -> list[tuple[float, Column]]:
-        return [(weights[f], phrase_count(t, p)) for f, t in fields.items() if p.field in (None, f)]
+        return [(weights[f], phrase_count(t, p)) for f, t in fields.items() if p.within(f)]
 
+    some = lambda p: reduce(lambda a, b: a | b, [h > 0 for _, h in hits(p)], F.lit(False))
     stats = tokens.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(size).alias("mean"),
-        *[F.count_if(reduce(lambda a, b: a | b, [h > 0 for _, h in hits(p)])).alias(f"n{k}") for k, p in enumerate(phrases)],
+        F.count(F.lit(1)).alias("n"), F.avg(size).alias("mean"), *[F.count_if(some(p)).alias(f"n{k}") for k, p in enumerate(phrases)]
     ).first()
-    total, mean = stats["n"], stats["mean"] or 1.0
+    held = [stats[f"n{k}"] for k in range(len(phrases))]
+    rank = _rank(held, [hits(p) for p in phrases], stats["n"], stats["mean"] or 1.0, size)
+    return tokens.where(matches(tree, fields)).withColumn(score, rank).select(*df.columns, score)
+
+
+def _rank(held: list[int], hits: list[list[tuple[float, Column]]], total: int, mean: float, size: Column) -> Column:
+    """Negative sum over the phrases; ``held``: rows with each, ``hits``: weight and count per field."""
     rank = F.lit(0.0)
-    for k, p in enumerate(phrases):
-        n = stats[f"n{k}"]
+    for n, counts in zip(held, hits, strict=True):
         idf = max(LEAST_IDF, math.log((total - n + 0.5) / (n + 0.5)))
-        f = reduce(lambda a, b: a + b, [F.lit(w) * h for w, h in hits(p)])
+        f = reduce(lambda a, b: a + b, [F.lit(w) * h for w, h in counts], F.lit(0.0))
         rank = rank + F.lit(idf) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * size / mean))
-    return tokens.where(matches(tree, fields)).withColumn(score, -rank).select(*df.columns, score)
+    return -rank
+
+
+@dataclass(frozen=True)
+class Index:
+    """Tables of a written index: postings by bucket of the term, tokens per row."""
+
+    postings: DataFrame
+    stats: DataFrame
+    row: str
+    buckets: int
+
+
+def open_index(spark: SparkSession, root: str, row: str = "chunk_row", buckets: int = BUCKETS) -> Index:
+    """The index that ``sinks.writers.write_index`` wrote under ``root``, with the same number of buckets."""
+    return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/doc_stats"), row, buckets)
+
+
+def _phrase_places(index: Index, phrase: Phrase, fields: list[str]) -> DataFrame:
+    """row, field, places: where a phrase stands, from the postings of its terms only."""
+    at = index.postings.where(F.col("field").isin(*[f for f in fields if phrase.within(f)]))
+    parts = []
+    shifted = lambda k: F.transform("places", lambda x: x - k)
+    for k, term in enumerate(phrase.terms):
+        if phrase.prefix and k == len(phrase.terms) - 1:
+            own = at.where(F.startswith("term", F.lit(term)))
+        else:  # a literal hash, so that only the term's bucket is read
+            own = at.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(index.buckets)).cast("int")) & (F.col("term") == term))
+        parts.append(own.select(index.row, "field", F.lit(k).alias("slot"), shifted(k).alias("places")))
+    if len(parts) == 1 and not phrase.prefix:
+        found = parts[0].select(index.row, "field", "places")
+    else:  # per row and field at most one list for each term, and those of a prefix
+        each = reduce(DataFrame.unionByName, parts).groupBy(index.row, "field", "slot").agg(F.flatten(F.collect_list("places")).alias("places"))
+        met = each.groupBy(index.row, "field").agg(F.collect_list("places").alias("p")).where(F.size("p") == len(parts))
+        joined = F.aggregate(F.slice("p", 2, F.lit(len(parts))), F.element_at("p", 1), lambda a, b: F.array_intersect(a, b))
+        found = met.select(index.row, "field", joined.alias("places"))
+    if phrase.first:
+        found = found.select(index.row, "field", F.filter("places", lambda x: x == 0).alias("places"))
+    return found.where(F.size("places") > 0)
+
+
+def search_index(index: Index, query: str, weights: dict[str, float], score: str = "rank") -> DataFrame:
+    """row and rank of the matching rows, as :func:`bm25` gives them, from the index alone.
+
+    Only the buckets of the query's terms are read (of a prefix, the sorted
+    row groups that hold it), the sizes of the rows and no text.
+    """
+    tree = parse_match(query)
+    phrases = list(dict.fromkeys(every_phrase(tree)))
+    scored = [phrases.index(p) for p in dict.fromkeys(phrases_of(tree))]
+    fields = list(weights)
+    parts = [_phrase_places(index, p, fields).withColumn("phrase", F.lit(k)) for k, p in enumerate(phrases) if p.terms]
+    total = index.stats.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
+    if not parts or not total["n"]:
+        return index.stats.select(index.row, F.lit(0.0).alias(score)).limit(0)
+    long = reduce(DataFrame.unionByName, parts)
+    name = lambda k, f: f"__{k}_{fields.index(f)}"
+    wide = long.groupBy(index.row).agg(
+        *[
+            F.coalesce(F.first(F.when((F.col("phrase") == k) & (F.col("field") == f), F.col("places")), ignorenulls=True), F.array().cast("array<int>")).alias(name(k, f))
+            for k in range(len(phrases)) for f in fields
+        ]
+    )
+    wide = cut_lineage(wide)  # the counts of rows come before the scores
+    count = lambda k, f: F.size(name(k, f))
+    some = lambda k: reduce(lambda a, b: a | b, [count(k, f) > 0 for f in fields])
+    held = wide.agg(*[F.count_if(some(k)).alias(f"n{k}") for k in scored]).first()
+    place = {p: k for k, p in enumerate(phrases)}
+    match = _evaluated(
+        tree, fields, lambda p, f: count(place[p], f) > 0,
+        lambda ps, n, f: _together([F.col(name(place[p], f)) for p in ps], [len(p.terms) for p in ps], n),
+    )
+    hits = [[(weights[f], count(k, f)) for f in fields if phrases[k].within(f)] for k in scored]
+    found = wide.where(match).join(index.stats, index.row)
+    rank = _rank([held[f"n{k}"] for k in scored], hits, total["n"], total["mean"] or 1.0, F.col("n_tokens"))
+    return found.select(index.row, rank.alias(score))
 
 
 def top_ranked(df: DataFrame, k: int, order: list) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ..functions import markup, text
 from ..functions.norm import claim_node, reference_key, scalar_text, source_node, strict_date
 from ..operators import graph, quality, record_rules, resolve, rewrite, search, temporal, view
 from ..operators.hanging import entity_targets
-from ..session import cut_lineage, lookup_join, table
+from ..session import cut_lineage, lookup_join, shared_folder, table
+from ..sinks import writers
 from ..sources import frontmatter
 
 DAY = "2024-06-30"
@@ -440,26 +442,37 @@ def heading_anchors(spark, d):
 
 
 def term_postings(spark, d):
-    chunks = table(spark, d, "chunks").select("chunk_row", "title", "heading", "content")
-    return search.postings(chunks, "chunk_row", ["title", "heading", "content"]).groupBy("term", "field").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("tf").alias("tf")
-    )
+    return search.term_counts(table(spark, d, "chunks"), "chunk_row", list(_WEIGHTS))
 
 
 _QUERY, _WEIGHTS = "야간근로수당 OR 별지 OR standby", {"title": 2.0, "heading": 1.0, "content": 1.0}
 
 
-def _ranked(spark, d) -> DataFrame:
-    ranked = search.bm25(table(spark, d, "chunks"), _QUERY, _WEIGHTS)
-    return ranked.withColumn("rank", F.round("rank", 9))
+def _index(spark, d) -> search.Index:
+    """The postings of the sections, written to the shared folder at a session's first search in ``d``."""
+    root = f"{shared_folder(spark)}/sections-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    if root not in _WRITTEN:
+        writers.write_postings(table(spark, d, "chunks"), root)
+        _WRITTEN.add(root)
+    return search.open_index(spark, root)
+
+
+_WRITTEN: set[str] = set()
+
+
+def _ranked(spark, d, *columns: str) -> DataFrame:
+    """Ranks of the matching sections from the index, with further columns of these sections."""
+    ranked = search.search_index(_index(spark, d), _QUERY, _WEIGHTS).withColumn("rank", F.round("rank", 9))
+    return table(spark, d, "chunks").select("chunk_row", *columns).join(ranked, "chunk_row") if columns else ranked
 
 
 def bm25_topk(spark, d):
-    return search.top_ranked(_ranked(spark, d).select("chunk_row", "rank"), 50, ["rank", "chunk_row"])
+    return search.top_ranked(_ranked(spark, d), 50, ["rank", "chunk_row"])
 
 
 def search_filtered(spark, d):
-    found = temporal.as_of(_ranked(spark, d).where("status in ('verified', 'review') and legal_status = 'current'"), DAY, "valid_from", "valid_until")
+    ranked = _ranked(spark, d, "entity_id", "status", "legal_status", "valid_from", "valid_until")
+    found = temporal.as_of(ranked.where("status in ('verified', 'review') and legal_status = 'current'"), DAY, "valid_from", "valid_until")
     return search.top_ranked(found.select("chunk_row", "entity_id", "rank"), 20, ["rank", "chunk_row"])
 
 
@@ -469,6 +482,8 @@ def match_language(spark, d):
     queries = {
         "and": "야간근로수당 별지", "not": "별지 NOT 통신보조비", "phrase": '"지급 내역은"', "prefix": "야간*",
         "field": "heading: 근거자료", "near": "NEAR(내역은 표와, 4)", "group": "(standby OR meal) AND employer",
+        "not_of_both": "별지 표와 NOT 통신보조비 내역은", "not_and": "별지 AND 표와 NOT 통신보조비", "nots": "별지 NOT 통신보조비 NOT 내역은 OR standby",
+        "fields": "{title heading}: 근거자료", "outside": "- content: 근거자료", "start": "heading: ^ 근거자료", "joined": "지급 + 내역은",
     }
     counts = [F.count_if(search.matches(search.parse_match(q), fields)).alias(n) for n, q in queries.items()]
     return chunks.agg(*counts)
@@ -476,7 +491,8 @@ def match_language(spark, d):
 
 def snippets(spark, d):
     top = search.top_ranked(_ranked(spark, d), 50, ["rank", "chunk_row"])
-    return top.select("chunk_row", search.snippet(F.col("content"), _QUERY).alias("snippet"))
+    texts = table(spark, d, "chunks").select("chunk_row", "content").join(F.broadcast(top), "chunk_row")  # 50 rows
+    return texts.select("chunk_row", search.snippet(F.col("content"), _QUERY).alias("snippet"))
 
 
 def additive_relevance(spark, d):

@@ -296,7 +296,13 @@ SQL = {
          count(*) filter (contains(x, ' 지급  내역은 ')) as phrase, count(*) filter (contains(x, ' 야간')) as prefix,
          count(*) filter (contains(b, ' 근거자료 ')) as field,
          count(*) filter (regexp_matches(x, ' 내역은 ( [^ |]+ ){{0,4}} 표와 | 표와 ( [^ |]+ ){{0,4}} 내역은 ')) as near,
-         count(*) filter ((contains(x, ' standby ') or contains(x, ' meal ')) and contains(x, ' employer ')) as "group" from t""",
+         count(*) filter ((contains(x, ' standby ') or contains(x, ' meal ')) and contains(x, ' employer ')) as "group",
+         count(*) filter (contains(x, ' 별지 ') and contains(x, ' 표와 ') and not (contains(x, ' 통신보조비 ') and contains(x, ' 내역은 '))) as not_of_both,
+         count(*) filter (contains(x, ' 별지 ') and contains(x, ' 표와 ') and not contains(x, ' 통신보조비 ')) as not_and,
+         count(*) filter (contains(x, ' 별지 ') and not contains(x, ' 통신보조비 ') and not contains(x, ' 내역은 ') or contains(x, ' standby ')) as nots,
+         count(*) filter (contains(a, ' 근거자료 ') or contains(b, ' 근거자료 ')) as fields,
+         count(*) filter (contains(a, ' 근거자료 ') or contains(b, ' 근거자료 ')) as outside,
+         count(*) filter (starts_with(b, '  근거자료 ')) as start, count(*) filter (contains(x, ' 지급  내역은 ')) as joined from t""",
     "record_slugs": rf"""{_L} select id, case when s <> '' then s || '-' else '' end || left(sha256(id), 8) as slug,
        replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') as safe_title
        from (select id, title, regexp_replace(left(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), 48), '^-+|-+$', '', 'g') as s from flat)""",

@@ -15,19 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder shared by all executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, shared by all executors.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only where the
-    session has none, as in local tests, a folder of our own is set.
+    It is the cluster's ``spark.checkpoint.dir``.  Only where the session has
+    none, as in local tests, a folder of our own is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder shared by all executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

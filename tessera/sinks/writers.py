@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -11,11 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.search import document_stats, postings
+from ..operators.search import BUCKETS, document_stats, postings
 
 
 def inside(root: str, path: str) -> str:
-    """Absolute output path; an error if it leaves the root."""
+    """Absolute output path; an error if it leaves the root.  A root with a scheme (file:, hdfs:) keeps it."""
+    if re.match(r"[a-z][a-z0-9+.-]+:", root):
+        if path.startswith("/") or ".." in path.split("/"):
+            raise ValueError(f"{path} is outside {root}")
+        return f"{root.rstrip('/')}/{path}"
     root, path = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
     if os.path.commonpath([root, path]) != root:
         raise ValueError(f"{path} is outside {root}")
@@ -41,9 +46,14 @@ def write_jsonl(df: DataFrame, path: str, order: list[str], one_file: bool = Fal
     out.write.mode("overwrite").text(path)
 
 
-def write_index(chunks: DataFrame, root: str, row: str = "chunk_row", fields: tuple[str, ...] = ("title", "heading", "content"), buckets: int = 256) -> None:
+def write_index(chunks: DataFrame, root: str, row: str = "chunk_row", fields: tuple[str, ...] = ("title", "heading", "content"), buckets: int = BUCKETS) -> None:
     """Search index as tables: chunks, postings (partitioned by a hash of the term) and document sizes."""
     chunks.write.mode("overwrite").parquet(inside(root, "chunks"))
+    write_postings(chunks, root, row, fields, buckets)
+
+
+def write_postings(chunks: DataFrame, root: str, row: str = "chunk_row", fields: tuple[str, ...] = ("title", "heading", "content"), buckets: int = BUCKETS) -> None:
+    """The part of the index that ``operators.search.search_index`` reads, for chunks that are stored already."""
     rows = postings(chunks, row, list(fields)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     # Rebalanced, so that a bucket with a very frequent term is written by several tasks.
     rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(inside(root, "postings"))

@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+import random
 import os
 import sqlite3
 import unicodedata
@@ -305,6 +306,67 @@ def test_bm25_equals_sqlite(spark):
             search.parse_match(bad)
 
 
+def _query(rng, depth=0):
+    """A query of the match language; not each is well-formed."""
+    word = lambda: rng.choice("a b c d e".split())
+
+    def phrase():
+        text = rng.choice([word(), word(), f'"{word()} {word()}"', word() + "*", f"{word()} + {word()}", f"^ {word()}"])
+        return rng.choice(["", "", "", "title: ", "- heading: ", "{title content}: "]) + text
+
+    def side_by_side():
+        near = f"NEAR({word()} {word()}, {rng.randrange(3)})"
+        return " ".join(rng.choice([phrase(), phrase(), near]) for _ in range(rng.choice([1, 1, 2, 3])))
+
+    parts = [side_by_side() if depth > 1 or rng.random() < 0.7 else f"{rng.choice(['', '', 'heading: '])}({_query(rng, depth + 1)})" for _ in range(rng.choice([1, 2, 2, 3]))]
+    out = parts[0]
+    for p in parts[1:]:
+        out += rng.choice([" AND ", " OR ", " NOT ", " NOT ", " "]) + p
+    return out
+
+
+def test_match_language_equals_sqlite(spark, tmp_path):
+    rng = random.Random(5)
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("create virtual table f using fts5(title, heading, content, tokenize='unicode61')")
+    except sqlite3.OperationalError:
+        pytest.skip("no FTS5")
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "d", "e", "ab", "x"]) for _ in range(rng.randrange(n)))
+    docs = [(k, text(3), text(3), text(7)) for k in range(300)]
+    con.executemany("insert into f(rowid, title, heading, content) values (?, ?, ?, ?)", docs)
+    fields = ["title", "heading", "content"]
+    df = spark.createDataFrame(docs, "chunk_row int, title string, heading string, content string")
+    queries = ["a b NOT c d", "a NOT c d", "a b NOT c", "a AND b NOT c", "a NOT b NOT c", "a NOT b AND c", "a OR b NOT c", "a (b)", "(a) b", "NEAR", "NEAR(a)", "a NOT", "NOT a"]
+    queries += [_query(rng) for _ in range(120)]
+    good, want = [], {}
+    for q in queries:
+        try:
+            want[q] = {r[0]: r[1] for r in con.execute("select rowid, bm25(f, 2, 1, 1) from f where f match ?", (q,))}
+        except sqlite3.OperationalError:
+            with pytest.raises(ValueError):
+                search.parse_match(q)
+        else:
+            good.append(q)
+    good = list(dict.fromkeys(good))
+    assert len(good) > 80
+    tokens, columns = search.tokenised(df, fields)
+    for k in range(0, len(good), 20):
+        part = good[k : k + 20]
+        hits = [F.coalesce(search.matches(search.parse_match(q), columns), F.lit(False)).alias(f"q{n}") for n, q in enumerate(part)]
+        rows = tokens.select("chunk_row", *hits).collect()
+        for n, q in enumerate(part):
+            assert {r.chunk_row for r in rows if r[f"q{n}"]} == set(want[q]), q
+    writers.write_postings(df, str(tmp_path / "index"), buckets=4)
+    index = search.open_index(spark, str(tmp_path / "index"), buckets=4)
+    for q in good[:20]:
+        found = {r.chunk_row: r.rank for r in search.search_index(index, q, {"title": 2.0, "heading": 1.0, "content": 1.0}).collect()}
+        assert set(found) == set(want[q]), q
+        if ":" not in q and "^" not in q and "NEAR" not in q and "NOT" not in q:
+            assert all(math.isclose(found[i], want[q][i], rel_tol=1e-6, abs_tol=1e-9) for i in found), q
+    assert search.search_index(index, "zz OR yy", {"title": 1.0}).count() == 0
+
+
 def test_search_helpers(spark):
     df = spark.createDataFrame([(i, f"t{i:02}") for i in range(25)], "id int, title string")
     assert [r.id for r in search.page(df, 99, 10, ["title"]).collect()] == list(range(20, 25))
