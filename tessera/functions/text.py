@@ -14,6 +14,7 @@ _LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 _WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
 
 # Markup and what it leaves, in the order of application.
+# A link between pages takes two steps, as a replacement cannot fall back from an empty group to another.
 PLAIN_STEPS = (
     (r"(?i)<br\s*/?>", " "),
     (r"\[\[[^\]|#]+(?:#[^\]|]+)?\|([^\]]+)\]\]", "$1"),
