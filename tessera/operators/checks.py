@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.norm import reference_key
+from ..functions.markup import page_parts
+from ..functions.norm import normalized_ref, reference_key
 from ..session import broadcast_if_small, lookup_join
 from .graph import issue
 from .resolve import duplicates
@@ -144,3 +145,61 @@ def page_link_issues(pages: DataFrame) -> DataFrame:
         .when((F.col("fragment") != "") & ~F.array_contains("__ids", F.col("fragment")), "BROKEN_FRAGMENT")
     )
     return found.select("page", "reference", code.alias("code")).where("code is not null")
+
+
+# Schemes of links that lead elsewhere, and what a path on a disk begins with.
+EXTERNAL_SCHEMES = ("http", "https", "mailto", "tel", "data")
+LOCAL_PATH = r"(?i)(?<![a-z0-9])(?:[a-z]:[\\/]|file://)"
+
+
+def page_issues(pages: DataFrame, lang: str = "ko") -> DataFrame:
+    """page, code, detail of what is wrong with a page by itself.
+
+    ``pages``: page (relative path), html.  Local file paths and unrendered
+    diagrams in the text, another language than ``lang``, repeated ids, images
+    without alternative text, not exactly one top heading (but in a folder
+    ``aliases``), links of unsupported schemes.  A null page counts as empty.
+    """
+    text = F.coalesce("html", F.lit(""))
+    parsed = pages.select("page", text.alias("html"), page_parts("html").alias("p"))
+    scheme = lambda r: F.lower(F.regexp_extract(r, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    strange = F.filter("p.refs", lambda r: (scheme(r) != "") & ~scheme(r).isin(*EXTERNAL_SCHEMES))
+    one = lambda condition, code, detail: F.when(condition, F.struct(F.lit(code).alias("code"), detail.cast("string").alias("detail")))
+    repeated = F.filter(F.array_distinct("p.ids"), lambda i: F.size(F.filter("p.ids", lambda j: j == i)) > 1)
+    found = F.array_compact(F.array(
+        one(F.col("html").rlike(LOCAL_PATH), "LOCAL_PATH_LEAK", F.lit("")),
+        one(F.contains("html", F.lit("language-mermaid")), "UNRENDERED_MERMAID", F.lit("")),
+        one(F.col("p.lang") != lang, "LANG_MISSING", F.col("p.lang")),
+        one(F.size(repeated) > 0, "DUPLICATE_ID", F.array_join(F.array_sort(repeated), ",")),
+        one(F.col("p.images_without_alt") > 0, "IMAGE_ALT", F.col("p.images_without_alt")),
+        one(~F.col("page").rlike("(^|/)aliases/") & (F.col("p.h1_count") != 1), "H1_COUNT", F.col("p.h1_count")),
+        one(F.size(strange) > 0, "REFERENCE_SCHEME", F.array_join(F.array_sort(strange), ",")),
+    ))
+    return parsed.select("page", F.inline(found))
+
+
+# What a log entry may say was done.
+LOG_ACTIONS = (
+    "CREATE", "UPDATE", "LINK", "DEPRECATE", "CONFLICT_REGISTER", "CONFLICT_RESOLVE", "LINT_RUN", "VERIFY", "INGEST",
+    "MIGRATE", "ROUTE_RAW", "DEDUPE_RAW",
+)
+
+
+def log_issues(items: DataFrame, paths: DataFrame, aliases: DataFrame, actions: tuple[str, ...] = LOG_ACTIONS) -> DataFrame:
+    """Issues of log entries: unknown actions, and targets that are neither a present path nor an alias of one.
+
+    ``items``: file, line_no, action, targets (see ``readers.log_items``).
+    ``paths``: path.  ``aliases``: alias, target.  Only targets that name a
+    page of the wiki are looked up.
+    """
+    line = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "))
+    wrong = items.where((F.col("action") != "") & ~F.col("action").isin(*actions)).select(
+        *issue("high", "LOG_ACTION_INVALID", "file", "Action", F.concat(line, "action"))
+    )
+    named = items.select("file", "line_no", F.explode("targets").alias("target"))
+    named = named.where(F.lower("target").startswith("wiki/") & F.contains(F.lower("target"), F.lit(".md"))).withColumn("__key", normalized_ref("target"))
+    present = paths.select(normalized_ref("path").alias("__key")).distinct()
+    through = aliases.select(normalized_ref("alias").alias("__alias"), normalized_ref("target").alias("__key"))
+    moved = lookup_join(through, present, ["__key"], ["__alias"], "left_semi").select(F.col("__alias").alias("__key"))
+    lost = lookup_join(named, present.union(moved).distinct(), ["__key"], ["file", "line_no"], "left_anti")
+    return wrong.unionByName(lost.select(*issue("low", "LOG_TARGET_UNRESOLVED", "file", "Target", F.concat(line, "target"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +33,77 @@ def ordered_items(df: DataFrame, keys: list[str], item: str, order: str) -> Data
 def merge_edges(rows: DataFrame, lists: list[str], order: str = "ord") -> DataFrame:
     """source, relation, target, one row each, with every list column's distinct values in order.
 
-    Rows with an empty endpoint make no edge (see :func:`edge_issues`).
+    Rows with an empty endpoint make no edge (see :func:`edge_issues`).  The
+    rows of an edge are reduced to their distinct values and the first place
+    of each before any list is formed; a list is as long as an edge has
+    distinct values.
     """
     keys = ["source", "relation", "target"]
     rows = rows.where("coalesce(source, '') != '' and coalesce(target, '') != ''")
-    edges = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    long = rows.select(
-        *keys, order, F.posexplode(F.array(*[F.col(c).cast("string") for c in lists])).alias("__list", "item")
+    # A null value stands for the row itself, which the first list counts.
+    each = F.posexplode(F.array(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in lists]))
+    long = rows.select(*keys, order, *[F.col(c).cast("string").alias(f"__v{k}") for k, c in enumerate(lists)], each.alias("__list", "__some"))
+    item = F.coalesce(*[F.when((F.col("__list") == k) & F.col("__some").isNotNull(), F.col(f"__v{k}")) for k in range(len(lists))])
+    one = long.select(*keys, "__list", item.alias("item"), order).groupBy(*keys, "__list", "item").agg(
+        F.min(order).alias("__o"), F.count(F.lit(1)).alias("__n")
     )
-    listed = ordered_items(long, [*keys, "__list"], "item", order)
-    wide = listed.groupBy(*keys).agg(
-        *[F.first(F.when(F.col("__list") == k, F.col("items")), ignorenulls=True).alias(c) for k, c in enumerate(lists)]
+    listed = lambda k: F.array_sort(F.collect_list(F.when((F.col("__list") == k) & F.col("item").isNotNull(), F.struct("__o", "item"))))
+    wide = one.groupBy(*keys).agg(
+        F.sum(F.when(F.col("__list") == 0, F.col("__n"))).alias("n_rows"),
+        *[F.transform(listed(k), lambda p: p["item"]).alias(c) for k, c in enumerate(lists)],
     )
-    edges = edges.join(wide, keys, "left").select(
-        edge_id("source", "relation", "target").alias("id"), *keys, "n_rows",
-        *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in lists],
-    )
-    return edges
+    return wide.select(edge_id("source", "relation", "target").alias("id"), *keys, "n_rows", *lists)
+
+
+def evidence_links(text_links: str) -> Column:
+    """Array of (evidence_ref, locator, claim_ref) of a list of such objects as JSON texts."""
+    return F.transform(text_links, lambda x: F.from_json(x, "evidence_ref string, locator string, claim_ref string"))
+
+
+def evidence_link(evidence_ref: Column | str, locator: Column | str, claim_ref: Column | str) -> Column:
+    """One link as a JSON text, so that equal links count once in a list; null without evidence."""
+    parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (evidence_ref, locator, claim_ref)]
+    link = F.to_json(F.struct(*[p.alias(n) for p, n in zip(parts, ("evidence_ref", "locator", "claim_ref"), strict=True)]))
+    return F.when(parts[0] != "", link)
+
+
+def authority_edges(records: DataFrame) -> DataFrame:
+    """Edges of authorities: has_primary_authority for the primary role, else has_authority.
+
+    ``records``: id, authorities (array of target_id, role, note), ord.
+    """
+    each = records.select("id", "ord", F.explode("authorities").alias("a"))
+    relation = F.when(F.col("a.role") == "primary", "has_primary_authority").otherwise("has_authority")
+    return each.select(F.col("id").alias("source"), relation.alias("relation"), F.trim("a.target_id").alias("target"), F.lit("authorities").alias("origin"), F.col("a.note").alias("note"), "ord")
+
+
+def conflict_nodes(records: DataFrame) -> DataFrame:
+    """Nodes of conflicts.  ``records``: id, conflicts (array of conflict_id, type, status, target_ids, note), ord."""
+    each = records.select("id", F.explode("conflicts").alias("c"))
+    return each.select(conflict_node("id", "c.conflict_id").alias("id"), F.lit("conflict").alias("node_type"), F.col("c.conflict_id").alias("title"), F.col("id").alias("owner_id"))
+
+
+def conflict_edges(records: DataFrame) -> DataFrame:
+    """Edges from a record to its conflicts and from these to what they are about."""
+    each = records.select("id", "ord", F.explode("conflicts").alias("c")).withColumn("node", conflict_node("id", "c.conflict_id"))
+    common = [F.lit("conflicts").alias("origin")]
+    has = each.select(F.col("id").alias("source"), F.lit("has_conflict").alias("relation"), F.col("node").alias("target"), *common, F.lit(None).cast("string").alias("note"), "ord")
+    about = each.select("node", "c.note", "ord", F.explode("c.target_ids").alias("target"))
+    return has.unionByName(
+        about.select(F.col("node").alias("source"), F.lit("conflicts_with").alias("relation"), F.trim("target").alias("target"), *common, "note", "ord")
+    )
+
+
+def conflict_node(entity: Column | str, conflict: Column | str) -> Column:
+    return F.concat(F.lit("conflict:"), F.col(entity) if isinstance(entity, str) else entity, F.lit("#"), F.col(conflict) if isinstance(conflict, str) else conflict)
+
+
+def ordered_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.orderBy("node_type", "id")
+
+
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    return edges.orderBy("source", "relation", "target")
 
 
 def issue(severity: str, code: str, path: Column | str, field: str, message: Column) -> list[Column]:
@@ -128,16 +183,16 @@ def claim_plan(anchors: DataFrame, supports: DataFrame) -> DataFrame:
     )
 
 
-def layers(edges: DataFrame, source: str = "source", target: str = "target", max_depth: int = 1000) -> DataFrame:
+def layers(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """node, depth: longest path from a node without predecessor; nodes of or behind a cycle get null.
 
-    Rounds take off all nodes whose predecessors are gone, so there are as
-    many rounds as layers; lineage is cut each round.
+    Rounds take off all nodes whose predecessors are gone, until none goes, so
+    there are as many rounds as layers; lineage is cut each round.
     """
     edges = cut_lineage(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct())
     left = cut_lineage(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     done = []
-    for depth in range(max_depth):
+    for depth in count():
         blocked = edges.join(left, edges["a"] == left["node"], "left_semi").select(F.col("b").alias("node")).distinct()
         free = cut_lineage(left.join(blocked, "node", "left_anti"))
         if free.isEmpty():

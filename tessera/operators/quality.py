@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,21 @@ def set_digest(df: DataFrame, columns: list[str], by: list[str] | None = None) -
     return bucket.groupBy(*by).agg(F.sum("n").alias("n_keys"), F.sha2(joined, 256).alias("digest"))
 
 
+def plain_digest(df: DataFrame, columns: list[str], limit: int = 1_000_000) -> tuple[int, str]:
+    """Number of distinct keys and the SHA-256 of their sorted lines, columns parted by tabs.
+
+    The digest of stored baselines, which are small; a larger set than
+    ``limit`` is an error (use :func:`set_digest`).  Lines sort by code points.
+    """
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).distinct()
+    keys = rows.select(*columns, line.alias("line")).limit(limit + 1).collect()
+    if len(keys) > limit:
+        raise ValueError(f"more than {limit} keys")
+    text = "\n".join(r["line"] for r in sorted(keys, key=lambda r: tuple(r)[:-1]))
+    return len(keys), hashlib.sha256(text.encode()).hexdigest()
+
+
 def compare_baseline(now: DataFrame, baseline: DataFrame, by: list[str]) -> DataFrame:
     """by, verdict: 'growth' (more keys), 'drift' (as many, other digest), 'shrunk' or 'same'."""
     old = baseline.select(*by, F.col("n_keys").alias("old_n"), F.col("digest").alias("old_digest"))

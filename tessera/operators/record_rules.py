@@ -79,7 +79,7 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def evidence_rules(evidence: DataFrame, sources: DataFrame) -> DataFrame:
-    """Ids, sources, locators, supports and dates of evidence rows."""
+    """Ids, sources, locators, supports and dates of evidence rows; sources are checked only if some are registered."""
     rows = row_rules(evidence, "evidence", "evidence_row", [
         ("high", "EVIDENCE_ID", "evidence_id", _empty("evidence_id"), F.lit("no id")),
         ("high", "EVIDENCE_SOURCE", "source_id", _empty("source_id"), F.lit("no source")),
@@ -90,7 +90,10 @@ def evidence_rules(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     ])
     known = sources.select(reference_key("source_id").alias("key"))
     again = _later(evidence.where("trim(coalesce(evidence_id, '')) != ''"), "evidence", "evidence_row", ["entity_id", "evidence_id"], "evidence_id", "high", "EVIDENCE_ID_DUPLICATE")
-    return _all([rows, _unknown(evidence, known, "evidence", "evidence_row", "source_id", "high", "EVIDENCE_SOURCE_UNKNOWN"), again])
+    parts = [rows, again]
+    if not known.where("key != ''").isEmpty():  # without any registered source there is nothing to check against
+        parts.append(_unknown(evidence, known, "evidence", "evidence_row", "source_id", "high", "EVIDENCE_SOURCE_UNKNOWN"))
+    return _all(parts)
 
 
 def relation_rules(relations: DataFrame, targets: DataFrame, vocab: DataFrame) -> DataFrame:

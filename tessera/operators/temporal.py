@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.norm import OPEN_END, col, strict_date
+from ..functions.norm import OPEN_END, col, reference_key, strict_date
 from ..session import lookup_join
 
 
@@ -78,8 +79,6 @@ def successor_overlaps(df: DataFrame, entity: str, start: str, end: str, row: st
 
 def timeline_issues(df: DataFrame, path: str, pairs: list[tuple[str, str, str]]) -> DataFrame:
     """Issues of date pairs in the wrong order: (code, earlier column, later column); equal days are allowed."""
-    from functools import reduce
-
     from .graph import issue
 
     parts = [
@@ -89,3 +88,62 @@ def timeline_issues(df: DataFrame, path: str, pairs: list[tuple[str, str, str]])
         for code, a, b in pairs
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+#: States of a record that has been replaced or struck down.
+ENDED = ("superseded", "overruled")
+
+
+def supersession_issues(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """Issues of records that others replace: themselves or none as successor, dates in the wrong order, no end.
+
+    ``records``: id, legal_status, effective_from, effective_to,
+    superseded_by, superseded_date as texts ('' or null for none).
+    ``targets``: key, entity_id of every known name.  A date that is none
+    takes part in no order.
+    """
+    from .record_rules import row_rules
+
+    keyed = records.withColumn("__key", reference_key("superseded_by"))
+    named = lookup_join(keyed.where("__key != ''"), targets.select(F.col("key").alias("__key"), "entity_id"), ["__key"], ["id"], "left")
+    own = (F.col("__key") == reference_key("id")) | F.coalesce(F.col("entity_id") == F.col("id"), F.lit(False))
+    code = F.when(own, "SUPERSESSION_SELF_REFERENCE").when(F.col("entity_id").isNull(), "SUPERSESSION_TARGET_BROKEN")
+    ends = named.where(code.isNotNull()).select(
+        F.lit("critical").alias("severity"), code.alias("code"), F.col("id").alias("path"), F.lit("superseded_by").alias("field"), F.col("superseded_by").alias("message")
+    )
+    dates = row_rules(records, "entities", "id", [
+        ("high", "SUPERSESSION_DATE_ORDER", "superseded_date", strict_date("superseded_date") < strict_date("effective_from"), F.col("superseded_date")),
+        ("medium", "SUPERSESSION_OPEN_ENDED", "effective_to", F.col("legal_status").isin(*ENDED) & (F.col("effective_to") == OPEN_END), F.col("legal_status")),
+    ])
+    return ends.unionByName(dates.withColumn("path", F.regexp_replace("path", "^entities/", "")))
+
+
+def verification_timeline(records: DataFrame, evidence: DataFrame, day: str, sources: tuple[str, ...] = ("case", "law", "interpretation")) -> DataFrame:
+    """Issues of when records and their evidence were verified, checked and taken in, as of a day.
+
+    ``records``: id, entity_type, status, ingestion_status, last_verified,
+    last_checked.  ``evidence``: evidence_row, entity_id, verified_on.  Texts
+    that are no date take part in no comparison; records of the types
+    ``sources`` need evidence once their ingestion is verified.
+    """
+    from .graph import issue
+    from .record_rules import row_rules
+
+    at = F.lit(day).cast("date")
+    known = records.select(F.col("id").alias("entity_id"), (F.col("status") == "verified").alias("__verified"), strict_date("last_verified").alias("__last"))
+    dated = evidence.select("evidence_row", "entity_id", "verified_on", strict_date("verified_on").alias("__on")).where("__on is not null")
+    joined = lookup_join(dated, known, ["entity_id"], ["evidence_row"], "left")
+    rows = row_rules(joined, "evidence", "evidence_row", [
+        ("high", "EVIDENCE_VERIFIED_IN_FUTURE", "verified_on", F.col("__on") > at, F.col("verified_on")),
+        ("high", "EVIDENCE_AFTER_LAST_VERIFIED", "verified_on", F.col("__verified") & (F.col("__on") > F.col("__last")), F.col("verified_on")),
+    ])
+    later = (F.col("status") == "verified") & (strict_date("last_verified") > strict_date("last_checked"))
+    bare = records.where((F.col("status") != "verified") & (F.col("ingestion_status") == "verified") & F.col("entity_type").isin(*sources))
+    some = evidence.select(F.col("entity_id").alias("id")).where("id is not null").distinct()
+    parts = [
+        records.where(later).select(*issue("high", "VERIFICATION_AFTER_CHECK", "id", "last_checked", F.col("last_checked"))),
+        lookup_join(bare, some, ["id"], ["id"], "left_anti").select(
+            *issue("medium", "INGESTION_VERIFIED_EVIDENCE_MISSING", "id", "evidence", F.col("entity_type"))
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts, rows)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..functions.norm import claim_node, reference_key, scalar_text, source_node, strict_date
+from ..functions.norm import claim_node, evidence_node, reference_key, scalar_text, source_node, strict_date
 from ..operators import graph, quality, record_rules, resolve, rewrite, search, temporal, view
 from ..operators.hanging import entity_targets
-from ..session import cut_lineage, lookup_join, shared_folder, table
+from ..session import lookup_join, shared_folder, table
 from ..sinks import writers
 from ..sources import frontmatter
 
@@ -142,7 +142,7 @@ def _names(spark, d) -> DataFrame:
 
 
 def _resolved(spark, d) -> DataFrame:
-    relations = table(spark, d, "relations").select("relation_row", "entity_id", "relation_type", "target_id")
+    relations = table(spark, d, "relations").select("relation_row", "entity_id", "relation_type", "target_id", "note")
     return resolve.resolve(relations, _names(spark, d), "target_id", ["relation_row"])
 
 
@@ -155,7 +155,12 @@ def broken_references(spark, d):
 
 
 def ambiguous_references(spark, d):
-    return _resolved(spark, d).where("n_matches > 1").select("relation_row", "target_id", "n_matches")
+    """References that several records answer to: targets of relations, and other names that records give."""
+    own = table(spark, d, "entities").select("entity_row", F.explode("aliases").alias("ref"))
+    names = _names(spark, d)
+    listed = resolve.resolve(own, names, "ref", ["entity_row"]).select(F.lit("entities").alias("table_name"), F.col("entity_row").alias("row"), "ref", "n_matches")
+    related = _resolved(spark, d).select(F.lit("relations").alias("table_name"), F.col("relation_row").alias("row"), F.col("target_id").alias("ref"), "n_matches")
+    return listed.unionByName(related).where("n_matches > 1")
 
 
 _NORM = (
@@ -174,7 +179,7 @@ names as (
 counts as (select key, count(*) as n_matches, case when count(*) = 1 then min(entity_id) end as entity_id from names group by 1),
 asked as (select *, {_NORM.format("coalesce(target_id, '')")} as key from relations),
 resolved as (
-  select a.relation_row, a.entity_id, a.relation_type, a.ordinal, a.target_id,
+  select a.relation_row, a.entity_id, a.relation_type, a.ordinal, a.target_id, a.note,
          coalesce(f.n_matches, b.n_matches, 0) as n_matches,
          case when f.key is not null then f.entity_id else b.entity_id end as resolved_id
   from asked a left join counts f on f.key = a.key
@@ -203,11 +208,24 @@ def qa_reference_resolution(spark, d):
     return _qa_refs(spark, d).select("qa_row", "field", "pos", "ref_id", "entity_id", "entity_type")
 
 
+#: Types that a field or a relation may point to.
+_EXPECTED = {
+    "required_rule_ids": ("rule",), "required_authority_ids": ("law", "case", "interpretation", "guide"), "illustrated_by": ("fact_pattern",),
+    "overrules": ("case",), "amends": ("law",), "interprets": ("rule", "law"),
+}
+
+
 def type_mismatch_references(spark, d):
-    wrong = F.when(F.col("field") == "required_rule_ids", F.col("entity_type") != "rule").otherwise(
-        ~F.col("entity_type").isin("law", "case", "interpretation", "guide")
-    )
-    return _qa_refs(spark, d).where(wrong).select("qa_row", "field", "pos", "entity_id", "entity_type")
+    """References to records of another type than their field or relation is meant for."""
+    cases = _qa_refs(spark, d).select(F.lit("qa_regression").alias("table_name"), F.col("qa_row").alias("row"), "field", "pos", "entity_id", "entity_type")
+    types = view.latest_records(table(spark, d, "entities").select("id", "entity_type", "exported_at", "entity_row"))
+    types = types.select(F.col("id").alias("resolved_id"), "entity_type")
+    related = lookup_join(_resolved(spark, d), types, ["resolved_id"], ["relation_row"]).select(
+        F.lit("relations").alias("table_name"), F.col("relation_row").alias("row"), F.col("relation_type").alias("field"),
+        F.lit(0).alias("pos"), F.col("resolved_id").alias("entity_id"), "entity_type",
+    )
+    wrong = reduce(lambda c, kv: c.when(F.col("field") == kv[0], ~F.col("entity_type").isin(*kv[1])), _EXPECTED.items(), F.when(F.lit(False), F.lit(False)))
+    return cases.unionByName(related).where(wrong)
 
 
 def duplicate_ids(spark, d):
@@ -222,10 +240,13 @@ def duplicate_relations(spark, d):
 
 
 def orphan_entities(spark, d):
+    """Records that no relation starts from, and whether one leads to them."""
     flat = _flat(spark, d).select("id", "title", "entity_type")
-    relations = table(spark, d, "relations")
-    used = relations.select(F.col("entity_id").alias("id")).unionByName(relations.select(reference_key("target_id").alias("id")))
-    return flat.join(used.where("id is not null").distinct(), "id", "left_anti")
+    starts = table(spark, d, "relations").select(F.col("entity_id").alias("id")).where("id is not null").distinct()
+    ends = _resolved(spark, d).select(F.col("resolved_id").alias("id")).where("id is not null").distinct()
+    bare = lookup_join(flat, starts, ["id"], ["id"], "left_anti")
+    found = lookup_join(bare, ends.withColumn("named", F.lit(True)), ["id"], ["id"], "left")
+    return found.select("id", "title", "entity_type", F.coalesce("named", F.lit(False)).alias("is_target"))
 
 
 def vocab_violations(spark, d):
@@ -241,7 +262,9 @@ def vocab_violations(spark, d):
     )
     values = entities.select(F.explode(each).alias("e")).select("e.field", "e.value").unionByName(
         relations.select(F.lit("relation_type").alias("field"), F.col("relation_type").alias("value"))
-    ).unionByName(table(spark, d, "chunks").select(F.lit("legal_status").alias("field"), F.col("legal_status").alias("value")))
+    ).unionByName(table(spark, d, "chunks").select(F.lit("legal_status").alias("field"), F.col("legal_status").alias("value"))).unionByName(
+        entities.select(F.lit("verification_method").alias("field"), F.explode("verification.methods").alias("value"))
+    )
     counted = values.where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows"))
     vocab = table(spark, d, "vocab").select("field", F.col("code").alias("value"))
     return counted.join(vocab, ["field", "value"], "left_anti")
@@ -299,23 +322,27 @@ def review_deadlines(spark, d):
 
 
 def supersession_check(spark, d):
-    flat = _flat(spark, d).where("superseded_by != ''").withColumn("key", reference_key("superseded_by"))
-    found = lookup_join(flat, _targets(spark, d).select("key", "entity_id"), ["key"], ["id"], "left")
-    return found.select(
-        "id", "superseded_by",
-        F.when(F.col("entity_id").isNull(), "broken").when(F.col("entity_id") == F.col("id"), "self").otherwise("ok").alias("verdict"),
-    )
+    """Diagnostics of replaced records; where none names its successor, that of its relation counts."""
+    newer = _resolved(spark, d).where("relation_type = 'supersedes'").select(F.coalesce("resolved_id", "target_id").alias("id"), "entity_id")
+    newer = newer.where("id is not null").groupBy("id").agg(F.min("entity_id").alias("__by"))
+    flat = lookup_join(_flat(spark, d), newer, ["id"], ["id"], "left").withColumn("superseded_by", F.coalesce(F.nullif("superseded_by", F.lit("")), "__by", F.lit("")))
+    flat = flat.withColumn("superseded_date", F.coalesce(F.nullif("superseded_date", F.lit("")), F.when(F.col("superseded_by") != "", F.col("last_updated")), F.lit("")))
+    return temporal.supersession_issues(flat, _targets(spark, d)).select("severity", "code", "path", "field", "message")
 
 
 # --- graph --------------------------------------------------------------------------
 
 
+def _claims() -> Column:
+    return F.filter(F.transform(F.coalesce("supports", F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c != "")
+
+
 def graph_nodes(spark, d):
     flat = _flat(spark, d)
     entities = flat.select("id", F.lit("entity").alias("node_type"), "title", F.lit(None).cast("string").alias("owner_id"))
     evidence = table(spark, d, "evidence")
     claims = (
-        evidence.select("entity_id", F.explode("supports").alias("claim")).where("trim(claim) != ''").distinct()
+        evidence.select("entity_id", F.explode(_claims()).alias("claim")).distinct()
         .select(claim_node("entity_id", "claim").alias("id"), F.lit("claim").alias("node_type"),
                 F.col("claim").alias("title"), F.col("entity_id").alias("owner_id"))
     )
@@ -324,36 +351,62 @@ def graph_nodes(spark, d):
     return graph.union_nodes([entities, claims, sources])
 
 
+_LISTS = ["origin", "note", "evidence_ref", "claim_ref", "link"]
+
+
 def _edge_rows(spark, d) -> DataFrame:
-    relations = cut_lineage(_resolved(spark, d)).select(  # several uses follow
+    """Rows of edges: relations, and of each piece of evidence what it asserts and what supports that."""
+    nothing = F.lit(None).cast("string")
+    relations = _resolved(spark, d).select(
         F.col("entity_id").alias("source"), F.col("relation_type").alias("relation"),
         F.coalesce("resolved_id", F.trim("target_id")).alias("target"), F.lit("relations").alias("origin"),
-        F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("evidence_ref"),
-        F.col("relation_row").alias("ord"),
+        F.col("note"), nothing.alias("evidence_ref"), nothing.alias("claim_ref"), nothing.alias("link"),
+        F.struct(F.col("relation_row").alias("row"), F.lit(0).alias("pos")).alias("ord"),
     )
-    evidence = table(spark, d, "evidence").withColumn("key", reference_key("source_id"))
-    claims = evidence.select("*", F.explode("supports").alias("claim")).where("trim(claim) != ''")
-    common = [F.lit("evidence").alias("origin"), F.col("locator").alias("note"), F.col("evidence_id").alias("evidence_ref"), F.col("evidence_row").alias("ord")]
-    asserts = claims.select(
-        F.col("entity_id").alias("source"), F.lit("asserts").alias("relation"), claim_node("entity_id", "claim").alias("target"), *common
+    source = source_node(reference_key("source_id"))
+    ref = evidence_node("entity_id", F.trim("evidence_id"))
+    claims = F.transform(_claims(), lambda c: claim_node("entity_id", c))
+
+    def edge(a, relation: str, b, claim, note) -> Column:
+        return F.struct(a.alias("source"), F.lit(relation).alias("relation"), b.alias("target"), claim.alias("claim_ref"), note.alias("note"))
+
+    entity, locator = F.col("entity_id"), F.col("locator")
+    of_claim = F.flatten(F.transform("claims", lambda c: F.array(
+        edge(entity, "asserts", c, c, nothing), edge(c, "supported_by", F.col("node"), c, locator), edge(entity, "supported_by", F.col("node"), c, locator)
+    )))
+    alone = F.array(edge(entity, "supported_by", F.col("node"), nothing, locator))
+    key = F.coalesce(reference_key("source_id"), F.lit(""))
+    evidence = table(spark, d, "evidence").select(
+        "entity_id", "locator", "evidence_row", ref.alias("ref"), F.when(key != "", source).alias("node"), claims.alias("claims")
     )
-    known = evidence.where("key != ''")
-    supported = claims.where("key != ''").select(
-        claim_node("entity_id", "claim").alias("source"), F.lit("supported_by").alias("relation"), source_node("key").alias("target"), *common
-    )
-    owned = known.select(F.col("entity_id").alias("source"), F.lit("supported_by").alias("relation"), source_node("key").alias("target"), *common)
-    return reduce(DataFrame.unionByName, [relations, asserts, supported, owned])
+    each = evidence.select("ref", "evidence_row", F.posexplode(F.when(F.size("claims") > 0, of_claim).otherwise(alone)).alias("pos", "e"))
+    return relations.unionByName(each.select(
+        "e.source", "e.relation", "e.target", F.lit("evidence").alias("origin"), "e.note", F.col("ref").alias("evidence_ref"), "e.claim_ref",
+        graph.evidence_link("ref", "e.note", "e.claim_ref").alias("link"), F.struct(F.col("evidence_row").alias("row"), "pos").alias("ord"),
+    ))
 
 
 def graph_edges(spark, d):
-    edges = graph.merge_edges(_edge_rows(spark, d), ["origin", "note", "evidence_ref"])
-    return edges.select("id", "source", "relation", "target", "n_rows", *[F.array_join(c, "|").alias(c) for c in ("origin", "note", "evidence_ref")])
+    edges = graph.merge_edges(_edge_rows(spark, d), _LISTS)
+    links = F.transform(graph.evidence_links("link"), lambda x: F.concat_ws("~", x["evidence_ref"], x["locator"], x["claim_ref"]))
+    lists = [F.array_join(c, "|").alias(c) for c in _LISTS[:-1]]
+    return graph.ordered_edges(edges.select("id", "source", "relation", "target", "n_rows", *lists, F.array_join(links, "|").alias("evidence_links")))
 
 
 def graph_integrity(spark, d):
     return graph.edge_issues(graph_nodes(spark, d), graph.merge_edges(_edge_rows(spark, d), ["origin"]))
 
 
+def graph_stats(spark, d):
+    """Nodes by type and edges by relation, with how many have evidence."""
+    nodes = graph_nodes(spark, d).groupBy(F.lit("node").alias("part"), F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("n_with_evidence"))
+    edges = graph.merge_edges(_edge_rows(spark, d), ["evidence_ref"])
+    counted = edges.groupBy(F.lit("edge").alias("part"), F.col("relation").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.size("evidence_ref") > 0).alias("n_with_evidence")
+    )
+    return nodes.unionByName(counted)
+
+
 def related_entities(spark, d):
     edges = graph.merge_edges(_edge_rows(spark, d).where("origin = 'relations'"), ["origin"])
     return graph.related(edges).select("entity_id", "other_id", F.array_join("relations", "|").alias("relations"))
@@ -369,7 +422,9 @@ def decision_path(spark, d):
     rule = graph.first_related(edges, types, "rule", order).withColumnRenamed("target", "rule_id")
     law = graph.first_related(edges, types, "law", order).select(F.col("source").alias("rule_id"), F.col("target").alias("law_id"))
     facts = types.where("node_type = 'fact_pattern'").select(F.col("id").alias("source"))
-    return rule.join(facts, "source").join(law, "rule_id").select(F.col("source").alias("fact_id"), "rule_id", "law_id")
+    of_facts = lookup_join(rule, facts, ["source"], ["source"], "left_semi")
+    found = lookup_join(of_facts, law, ["rule_id"], ["source"])  # many facts may meet in one rule
+    return found.select(F.col("source").alias("fact_id"), "rule_id", "law_id")
 
 
 def order_path(spark, d):
@@ -527,8 +582,8 @@ def content_manifest(spark, d):
 def manifest_diff(spark, d):
     def state(day: str) -> DataFrame:
         known = table(spark, d, "chunks").where(F.col("indexed_at") < F.to_timestamp_ntz(F.lit(day + " 00:00:00")))
-        newest = known.groupBy("chunk_id").agg(F.max_by("content", F.struct("indexed_at", "chunk_row")).alias("content"))
-        return newest.select("chunk_id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha"))
+        hashed = known.select("chunk_id", "indexed_at", "chunk_row", F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha"))
+        return hashed.groupBy("chunk_id").agg(F.max_by("sha", F.struct("indexed_at", "chunk_row")).alias("sha"))
 
     return quality.diff(state(EARLIER), state(DAY), "chunk_id", "sha")
 
@@ -568,7 +623,12 @@ def _issues(spark, d) -> DataFrame:
 
 
 def issue_report(spark, d):
-    return _issues(spark, d)
+    return quality.ordered_issues(_issues(spark, d))
+
+
+def top_issues(spark, d):
+    """The hundred worst issues, in order."""
+    return quality.ordered_issues(_issues(spark, d)).limit(100)
 
 
 def severity_gate(spark, d):
@@ -675,10 +735,10 @@ QUERIES = {
         resolve_references, broken_references, ambiguous_references, qa_reference_resolution, type_mismatch_references,
         duplicate_ids, duplicate_relations, orphan_entities, vocab_violations, missing_fields, alias_closure, alias_parity,
         asof_effective, temporal_order_check, review_deadlines, supersession_check, graph_nodes, graph_edges,
-        graph_integrity, related_entities, decision_path, order_path, evidence_supports, claim_plan, claim_anchors,
+        graph_integrity, graph_stats, related_entities, decision_path, order_path, evidence_supports, claim_plan, claim_anchors,
         section_list, heading_sections, summaries, plain_text, heading_anchors, term_postings, bm25_topk, search_filtered,
         match_language, snippets, additive_relevance, recent_documents, source_labels, content_manifest, manifest_diff,
-        set_digests, baseline_verdicts, issue_report, severity_gate, migration_plan, frontmatter_roundtrip, event_actions,
+        set_digests, baseline_verdicts, issue_report, top_issues, severity_gate, migration_plan, frontmatter_roundtrip, event_actions,
         evidence_rules, relation_rules, source_rules, qa_rules, identity_rules, temporal_rules, verification_rules,
         rule_summary, rewrite_changes, source_locations,
     )

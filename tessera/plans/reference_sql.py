@@ -27,35 +27,42 @@ def _tokens(x: str) -> str:
 
 _ENC = "url_encode({0})"
 _CLAIM = f"'claim:' || {_ENC.format('entity_id')} || '#' || {_ENC.format('claim')}"
+_REF = f"'evidence:' || {_ENC.format('entity_id')} || '#' || {_ENC.format('trim(evidence_id)')}"
 _EDGE = f"""
-claims as (select * from (select *, unnest(supports) as claim, {_KEY.format("source_id")} as key from evidence) where trim(claim) <> ''),
+claims as (select *, pos * 3 as p from (
+  select *, unnest(cs) as claim, generate_subscripts(cs, 1) - 1 as pos from (
+    select *, list_filter(list_transform(coalesce(supports, []), lambda x: trim(x)), lambda x: x <> '') as cs, {_KEY.format("source_id")} as key, {_REF} as ref from evidence))),
 edge_rows as (
   select entity_id as source, relation_type as relation, coalesce(resolved_id, trim(target_id)) as target,
-         'relations' as origin, cast(null as varchar) as note, cast(null as varchar) as evidence_ref, relation_row as ord from resolved
-  union all select entity_id, 'asserts', {_CLAIM}, 'evidence', locator, evidence_id, evidence_row from claims
-  union all select {_CLAIM}, 'supported_by', 'source:' || {_ENC.format('key')}, 'evidence', locator, evidence_id, evidence_row from claims where key <> ''
-  union all select entity_id, 'supported_by', 'source:' || {_ENC.format('key')}, 'evidence', locator, evidence_id, evidence_row
-    from (select *, {_KEY.format("source_id")} as key from evidence) where key <> ''),
+         'relations' as origin, note, cast(null as varchar) as evidence_ref, cast(null as varchar) as claim_ref, relation_row as r, 0 as p from resolved
+  union all select entity_id, 'asserts', {_CLAIM}, 'evidence', null, ref, {_CLAIM}, evidence_row, p from claims
+  union all select {_CLAIM}, 'supported_by', 'source:' || {_ENC.format('key')}, 'evidence', locator, ref, {_CLAIM}, evidence_row, p + 1 from claims where key <> ''
+  union all select entity_id, 'supported_by', 'source:' || {_ENC.format('key')}, 'evidence', locator, ref, {_CLAIM}, evidence_row, p + 2 from claims where key <> ''
+  union all select entity_id, 'supported_by', 'source:' || {_ENC.format('key')}, 'evidence', locator, ref, null, evidence_row, 0
+    from (select *, {_KEY.format("source_id")} as key, {_REF} as ref from evidence where len(list_filter(coalesce(supports, []), lambda x: trim(x) <> '')) = 0) where key <> ''),
 edge_keys as (select source, relation, target, count(*) as n_rows from edge_rows
               where coalesce(source, '') <> '' and coalesce(target, '') <> '' group by all)"""
 
 
 def _joined(item: str) -> str:
     return f"""(select source, relation, target, string_agg(item, '|' order by o, item) as items from (
-      select source, relation, target, {item} as item, min(ord) as o from edge_rows
+      select source, relation, target, {item} as item, min(struct_pack(r := r, p := p)) as o from edge_rows
       where trim(coalesce({item}, '')) <> '' and coalesce(source, '') <> '' and coalesce(target, '') <> '' group by all) group by all)"""
 
 
 _EDGE_JOIN = "{0}.source = k.source and {0}.relation is not distinct from k.relation and {0}.target = k.target"
+_LINK = "evidence_ref || '~' || coalesce(note, '') || '~' || coalesce(claim_ref, '')"
 _EDGES = f"""
 select 'edge-' || left(sha256(k.source || chr(0) || k.relation || chr(0) || k.target), 16) as id, k.source, k.relation, k.target, k.n_rows,
-       coalesce(a.items, '') as origin, coalesce(b.items, '') as note, coalesce(c.items, '') as evidence_ref
+       coalesce(a.items, '') as origin, coalesce(b.items, '') as note, coalesce(c.items, '') as evidence_ref,
+       coalesce(x.items, '') as claim_ref, coalesce(y.items, '') as evidence_links
 from edge_keys k left join {_joined("origin")} a on {_EDGE_JOIN.format("a")}
-left join {_joined("note")} b on {_EDGE_JOIN.format("b")} left join {_joined("evidence_ref")} c on {_EDGE_JOIN.format("c")}"""
+left join {_joined("note")} b on {_EDGE_JOIN.format("b")} left join {_joined("evidence_ref")} c on {_EDGE_JOIN.format("c")}
+left join {_joined("claim_ref")} x on {_EDGE_JOIN.format("x")} left join {_joined(_LINK)} y on {_EDGE_JOIN.format("y")}"""
 _NODES = f"""
 nodes as (
   select id, 'entity' as node_type, title, cast(null as varchar) as owner_id from flat
-  union all select {_CLAIM}, 'claim', claim, entity_id from (select distinct entity_id, claim from (select entity_id, unnest(supports) as claim from evidence) where trim(claim) <> '')
+  union all select {_CLAIM}, 'claim', claim, entity_id from (select distinct entity_id, trim(claim) as claim from (select entity_id, unnest(supports) as claim from evidence) where trim(claim) <> '')
   union all select 'source:' || {_ENC.format('source_id')}, 'source', min(title), null from sources group by source_id)"""
 
 _BM = f"""
@@ -76,22 +83,6 @@ _MISSING = " union all ".join(
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _plain(x: str) -> str:
-    steps = (
-        (rf"(?i)<br{_WS}*/?>", " "),
-        (r"\[\[[^\]|#]+(?:#[^\]|]+)?\|([^\]]+)\]\]", r"\1"),
-        (r"\[\[([^\]|#]+)(?:#[^\]|]+)?\]\]", r"\1"),
-        (r"\[([^\]]+)\]\([^\)]+\)", r"\1"),
-        (r"`([^`\n]+)`", r"\1"),
-        (rf"(?m)^{_WS}{{0,3}}#{{1,6}}{_WS}+", ""),
-        (rf"(?m)^{_WS}*>{_WS}?", ""),
-        (rf"{_WS}+", " "),
-    )
-    for pattern, left in steps:
-        x = f"regexp_replace({x}, '{pattern}', '{left}', 'g')"
-    return f"trim({x})"
-
-
 _ISSUES = f"""
 issues as (
   select 'critical' as severity, 'DUPLICATE_ID' as code, id as path, 'id' as field, cast(count(*) as varchar) as message from entities where id is not null group by id having count(*) > 1
@@ -339,19 +330,27 @@ SQL = {
     "paginate": f"{_L} select id, title from flat order by title, id limit 10 offset 20",
     "resolve_references": f"{_N} select relation_row, target_id, n_matches, resolved_id from resolved",
     "broken_references": f"{_N} select relation_row, target_id from resolved where n_matches = 0 and trim(coalesce(target_id, '')) <> ''",
-    "ambiguous_references": f"{_N} select relation_row, target_id, n_matches from resolved where n_matches > 1",
+    "ambiguous_references": f"""{_N}, o as (select *, {_NORM.format("coalesce(ref, '')")} as key from (select entity_row, unnest(aliases) as ref from entities))
+       select 'entities' as table_name, o.entity_row as row, o.ref, coalesce(f.n_matches, b.n_matches) as n_matches from o left join counts f on f.key = o.key
+         left join counts b on b.key = {_NORM.format(_BASE.format("o.key"))} where coalesce(f.n_matches, b.n_matches) > 1
+       union all select 'relations', relation_row, target_id, n_matches from resolved where n_matches > 1""",
     "qa_reference_resolution": f"{_T}, {_LATEST.strip()}, {_QA.strip()} select qa_row, field, pos, ref_id, entity_id, entity_type from qa_refs",
-    "type_mismatch_references": f"""{_T}, {_LATEST.strip()}, {_QA.strip()} select qa_row, field, pos, entity_id, entity_type from qa_refs
-       where case when field = 'required_rule_ids' then entity_type <> 'rule' else entity_type not in ('law', 'case', 'interpretation', 'guide') end""",
+    "type_mismatch_references": f"""{_T.replace("names as", "targets as")}, {_LATEST.strip()}, {_QA.strip().replace("names ", "targets ").replace("asked", "qa_asked")}, {_NAMES.strip()}
+       select 'qa_regression' as table_name, qa_row as row, field, pos, entity_id, entity_type from qa_refs
+         where case when field = 'required_rule_ids' then entity_type <> 'rule' else entity_type not in ('law', 'case', 'interpretation', 'guide') end
+       union all select 'relations', r.relation_row, r.relation_type, 0, r.resolved_id, f.entity_type from resolved r join flat f on f.id = r.resolved_id
+         where case r.relation_type when 'illustrated_by' then f.entity_type <> 'fact_pattern' when 'overrules' then f.entity_type <> 'case'
+           when 'amends' then f.entity_type <> 'law' when 'interprets' then f.entity_type not in ('rule', 'law') end""",
     "duplicate_ids": "select id, count(*) as n_rows from entities group by id having count(*) > 1",
     "duplicate_relations": f"""select relation_row, entity_id, relation_type, target_id from (
        select *, rank() over (partition by entity_id, relation_type, {_KEY.format("target_id")} order by relation_row) as place from relations) where place > 1""",
-    "orphan_entities": f"""{_L} select id, title, entity_type from flat f where not exists (select 1 from relations r where r.entity_id = f.id)
-       and not exists (select 1 from relations r where {_KEY.format("r.target_id")} = f.id)""",
+    "orphan_entities": f"""{_L}, {_NAMES.strip()} select id, title, entity_type, exists (select 1 from resolved r where r.resolved_id = f.id) as is_target
+       from flat f where not exists (select 1 from relations r where r.entity_id = f.id)""",
     "vocab_violations": """select v.field, v.value, count(*) as n_rows from (
        select 'entity_type' as field, entity_type as value from entities union all select 'status', workflow.editorial_status from entities
        union all select 'legal_status', legal.status from entities union all select 'review_cycle', workflow.review.cycle from entities
-       union all select 'relation_type', relation_type from relations union all select 'legal_status', legal_status from chunks) v
+       union all select 'relation_type', relation_type from relations union all select 'legal_status', legal_status from chunks
+       union all select 'verification_method', unnest(verification.methods) from entities) v
        where v.value is not null and not exists (select 1 from vocab w where w.field = v.field and w.code = v.value) group by 1, 2""",
     "missing_fields": _MISSING,
     "alias_closure": """with recursive links as (select alias_id as alias, min(canonical_id) as target from id_aliases
@@ -367,8 +366,16 @@ SQL = {
     "temporal_order_check": f"""select 'chunks' as table_name, chunk_row as row, valid_from as a, valid_until as b from chunks where {_date("valid_from")} > {_date("valid_until")}
        union all select 'temporal', temporal_row, applicable_from, applicable_to from temporal where {_date("applicable_from")} > {_date("applicable_to")}""",
     "review_deadlines": f"{_L} select review_cycle, count(*) as n_rows, count(*) filter ({_OVERDUE}) as n_overdue from flat group by 1",
-    "supersession_check": f"""{_T}, {_LATEST.strip()} select f.id, f.superseded_by, case when n.entity_id is null then 'broken' when n.entity_id = f.id then 'self' else 'ok' end as verdict
-       from flat f left join names n on n.key = {_KEY.format("f.superseded_by")} where f.superseded_by <> ''""",
+    "supersession_check": f"""{_T.replace("names as", "targets as")}, {_LATEST.strip()}, {_NAMES.strip()},
+       newer as (select coalesce(resolved_id, target_id) as id, min(entity_id) as successor from resolved where relation_type = 'supersedes' group by 1),
+       r as (select f.id, f.legal_status, f.effective_from, f.effective_to, coalesce(nullif(f.superseded_by, ''), n.successor, '') as by_id,
+               coalesce(nullif(coalesce(trim(l.legal.superseded_on), ''), ''), case when coalesce(nullif(f.superseded_by, ''), n.successor, '') <> '' then f.last_updated end, '') as on_day
+             from flat f join latest l on l.id = f.id left join newer n on n.id = f.id)
+       select 'critical' as severity, case when t.entity_id is null and {_KEY.format("r.by_id")} <> {_KEY.format("r.id")} then 'SUPERSESSION_TARGET_BROKEN' else 'SUPERSESSION_SELF_REFERENCE' end as code,
+              r.id as path, 'superseded_by' as field, r.by_id as message
+         from r left join targets t on t.key = {_KEY.format("r.by_id")} where r.by_id <> '' and (t.entity_id is null or t.entity_id = r.id or {_KEY.format("r.by_id")} = {_KEY.format("r.id")})
+       union all select 'high', 'SUPERSESSION_DATE_ORDER', id, 'superseded_date', on_day from r where {_date("on_day")} < {_date("effective_from")}
+       union all select 'medium', 'SUPERSESSION_OPEN_ENDED', id, 'effective_to', legal_status from r where legal_status in ('superseded', 'overruled') and effective_to = '9999-12-31'""",
     "graph_nodes": f"{_L}, {_NODES.strip()} select * from nodes",
     "graph_edges": f"{_N}, {_EDGE.strip()} {_EDGES}",
     "graph_integrity": f"""{_N}, {_EDGE.strip()}, {_LATEST.strip()}, {_NODES.strip()},
@@ -393,7 +400,6 @@ SQL = {
     "heading_sections": r"""with p as (select doc_id, string_split(regexp_replace(text, '(^|\n)(#{1,6} )', '\1' || chr(1) || '\2', 'g'), chr(1)) as parts from documents where text is not null),
        q as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) - 1 as section_no from p)
        select doc_id, section_no, regexp_extract(part, '^#{1,6} ([^\r\n]*)', 1) as heading, length(part) as n_chars from q where trim(part) <> ''""",
-    "plain_text": f"select doc_id, sha256({_plain('text')}) as digest from documents where text is not null",
     "heading_anchors": r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents where text is not null),
        w as (select doc_id, pos, regexp_replace(regexp_replace(lower(regexp_replace(line, '^#{1,6} +', '')), '[^0-9a-z가-힣]+', '-', 'g'), '^-+|-+$', '', 'g') as words
          from l where regexp_matches(line, '^#{1,6} +[^ \r]'))
@@ -405,11 +411,6 @@ SQL = {
     "bm25_topk": f"with {_BM.strip()} select chunk_row, rank from ranked order by rank, chunk_row limit 50",
     "search_filtered": f"""with {_BM.strip()} select chunk_row, entity_id, rank from ranked where status in ('verified', 'review') and legal_status = 'current'
        and {_as_of(DAY, "valid_from", "valid_until")} order by rank, chunk_row limit 20""",
-    "additive_relevance": """select doc_id, cast(sum(points) as integer) as score from (
-       select doc_id, case when lower(coalesce(entity_type, '')) = t then 100 when contains(lower(coalesce(entity_type, '')), t) then 70 else 0 end
-         + case when lower(coalesce(title, '')) = t then 80 when starts_with(lower(coalesce(title, '')), t) then 55 when contains(lower(coalesce(title, '')), t) then 40 else 0 end
-         + case when contains(lower(coalesce(source, '')), t) then 30 else 0 end + case when contains(lower(left(coalesce(text, ''), 160)), t) then 12 else 0 end + 3 as points
-       from documents, (values ('수당'), ('지급')) q(t) where contains(lower(text), '수당') and contains(lower(text), '지급')) group by 1""",
     "recent_documents": "select doc_id, title, collected_at from documents order by collected_at desc nulls last, doc_id limit 4",
     "source_labels": r"""select source_row, source_id, case when p <> '' then 'path' when u <> '' then 'url' else '' end as location_kind,
        case when p <> '' then p else u end as location_value, regexp_extract(case when p <> '' then p else u end, '^https?://([^/]+)', 1) as host
@@ -422,6 +423,11 @@ SQL = {
     "baseline_verdicts": f"""select n.relation_type, case when n.n_keys > coalesce(o.n_keys, 0) then 'growth' when n.n_keys = o.n_keys and n.digest <> o.digest then 'drift'
        when n.n_keys < o.n_keys then 'shrunk' else 'same' end as verdict from {_digest()} n left join {_digest("where recorded_at < timestamp '2025-06-30 00:00:00'")} o using (relation_type)""",
     "issue_report": f"{_N}, {_ISSUES.strip()} select * from issues",
+    "top_issues": f"""{_N}, {_ISSUES.strip()} select * from issues
+       order by case severity when 'critical' then 1 when 'high' then 2 when 'medium' then 3 else 4 end, code, path, message limit 100""",
+    "graph_stats": f"""{_N}, {_EDGE.strip()}, {_LATEST.strip()}, {_NODES.strip()} select 'node' as part, node_type as kind, count(*) as n, 0 as n_with_evidence from nodes group by 2
+       union all select 'edge', relation, count(*), count(*) filter (has_some) from (select source, relation, target, bool_or(coalesce(evidence_ref, '') <> '') as has_some
+         from edge_rows where coalesce(source, '') <> '' and coalesce(target, '') <> '' group by all) group by 2""",
     "severity_gate": f"""{_N}, {_ISSUES.strip()} select s.severity, count(i.code) as n_issues from (values ('critical'), ('high'), ('medium'), ('low')) s(severity)
        left join issues i on i.severity = s.severity group by 1""",
     "migration_plan": """select schema_version, count(*) as n_rows, count(*) filter (schema_version <> '1.4' or coalesce(o, false) or coalesce(r, false) or coalesce(b, false)) as n_changes,
