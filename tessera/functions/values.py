@@ -44,10 +44,10 @@ def dotted_date(day: Column | str) -> Column:
 
 
 def host_label(url: Column | str, labels: dict[str, str], default: str) -> Column:
-    """Label of a URL by its host or a parent domain of it; ``default`` for others and for no URL."""
+    """Label of a URL by its host or a parent domain of it, the first that fits; ``default`` for others and for no URL."""
     c = F.col(url) if isinstance(url, str) else url
     host = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), r"^https?://(?:[^/@]*@)?([^/:?#]+)", 1))
     out = F.lit(default)
-    for domain, label in labels.items():
+    for domain, label in reversed(labels.items()):
         out = F.when((host == domain) | F.endswith(host, F.lit("." + domain)), F.lit(label)).otherwise(out)
     return out

@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import markup
+from ..functions.norm import OPEN_END, UNKNOWN_START, scalar_text
 from ..functions.text import search_hay, search_tokens
 from ..session import cut_lineage
 
@@ -417,6 +419,25 @@ def search_index(index: Index, query: str, weights: dict[str, float], score: str
     return found.select(index.row, rank.alias(score))
 
 
+def section_chunks(records: DataFrame, body: str, entity: str = "id") -> DataFrame:
+    """chunk_id, entity_id, title, entity_type, status, legal_status, effective_from, effective_to, heading, content of every section.
+
+    Ids are the record's and the section's number (``::section-001``); claim
+    marks and markup are off the content.  Columns that ``records`` lacks, and
+    values it leaves blank, get what stands for unknown: '' or unknown, the
+    earliest start and the open end.  Null bodies give no chunk.
+    """
+    given = lambda c: scalar_text(c) if c in records.columns else F.lit("")
+    known = lambda c, default: F.coalesce(F.nullif(given(c), F.lit("")), F.lit(default))
+    each = records.select(
+        F.col(entity).alias("entity_id"), given("title").alias("title"), given("entity_type").alias("entity_type"), given("status").alias("status"),
+        known("legal_status", "unknown").alias("legal_status"), known("effective_from", UNKNOWN_START).alias("effective_from"),
+        known("effective_to", OPEN_END).alias("effective_to"), F.posexplode(markup.section_list(body)).alias("__pos", "__s"),
+    )
+    number = F.format_string("%s::section-%03d", F.col("entity_id").cast("string"), F.col("__pos") + 1)
+    return each.select(number.alias("chunk_id"), *[c for c in each.columns if not c.startswith("__")], "__s.heading", "__s.content")
+
+
 def top_ranked(df: DataFrame, k: int, order: list) -> DataFrame:
     """The best ``k`` rows (at least one) in a total order."""
     return df.orderBy(*order).limit(max(1, k))

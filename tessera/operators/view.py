@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.norm import OPEN_END, UNKNOWN_START, first_text, ordered_distinct, scalar_text
+from ..functions.norm import OPEN_END, ordered_distinct, scalar_text
 
 #: Flat column and where it comes from in the nested record.
 FLAT = {
@@ -64,15 +64,6 @@ def source_location(location: str = "location") -> list[Column]:
     ]
 
 
-def chunk_defaults() -> dict[str, Column]:
-    """Columns of a chunk with their defaults for missing values."""
-    return {
-        "legal_status": F.coalesce(F.nullif(scalar_text("legal_status"), F.lit("")), F.lit("unknown")),
-        "effective_from": first_text("effective_from", F.lit(UNKNOWN_START)),
-        "effective_to": first_text("effective_to", F.lit(OPEN_END)),
-    }
-
-
 def search_text(parts: list[Column]) -> Column:
     """Distinct non-blank parts in their order, joined by blanks."""
     cleaned = F.filter(F.array(*[F.trim(F.coalesce(p, F.lit(""))) for p in parts]), lambda p: p != "")
@@ -138,3 +129,16 @@ def type_rank(entity_type: str, order: list[str]) -> Column:
     """Place of a type in a fixed order; unknown types come last."""
     at = F.array_position(F.array(*map(F.lit, order)), F.col(entity_type))
     return F.when(at == 0, len(order) + 1).otherwise(F.coalesce(at, F.lit(len(order) + 1))).cast("int")
+
+
+#: Ways to sort a list of records; the first is meant where none is named.
+SORT_MODES = ("newest", "oldest", "title", "type")
+
+
+def record_order(mode: str, types: list[str], collation: str = "ko", date: str = "sort_date", title: str = "title") -> list[Column]:
+    """Order of a record list: by date, title or type, equal ones by title; titles in the order of a language."""
+    by_title = F.collate(F.col(title), collation).asc()
+    first = {"newest": [F.desc(date)], "oldest": [F.asc(date)], "title": [], "type": [type_rank("entity_type", types).asc()]}
+    if mode not in first:
+        raise ValueError(f"unknown sort mode {mode}")
+    return [*first[mode], by_title]
