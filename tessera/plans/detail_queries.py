@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import flowchart, markup, text, values
 from ..functions.norm import reference_key
-from ..operators import checks, claims, graph, quality, resolve, search, temporal, view
+from ..operators import checks, claims, graph, quality, resolve, rewrite, search, temporal, view
 from ..session import lookup_join, table
 from ..sources import frontmatter, readers
 from .problem_queries import _TARGETS
-from .reference_queries import _LATEST, _NAMES, DAY, _date, _flat, _resolved, frontmatter_roundtrip, section_list, summaries
+from .reference_queries import _LATEST, _NAMES, DAY, _date, _flat, _names, _resolved, frontmatter_roundtrip, section_list, summaries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -338,6 +338,74 @@ def page_links(spark, d):
     return checks.page_link_issues(parts)
 
 
+# --- rewrites -------------------------------------------------------------------------------
+
+
+@_query(f"""{_N}, {_LATEST.strip()}, t as (
+       select r.entity_id, case when a.entity_type = 'case' and b.entity_type = 'rule' then 'supports' when a.entity_type = 'law' and b.entity_type = 'rule' then 'establishes'
+           when a.entity_type = 'interpretation' and b.entity_type = 'rule' then 'interprets' when a.entity_type = 'fact_pattern' and b.entity_type = 'rule' then 'applies'
+           when a.entity_type = 'rule' and b.entity_type = 'fact_pattern' then 'illustrated_by' else 'cites' end as relation_type, r.resolved_id as target_id, r.relation_row
+       from resolved r left join latest a on a.id = r.entity_id join latest b on b.id = r.resolved_id where r.entity_id is not null and trim(coalesce(r.target_id, '')) <> '')
+       select min(relation_row) as row, entity_id, relation_type, target_id from t group by 2, 3, 4""")
+def typed_relations(spark, d):
+    """What relations would be if only their ends were known: the type follows from the types of both records."""
+    links = table(spark, d, "relations").select(F.col("relation_row").alias("row"), "entity_id", F.col("target_id").alias("target"))
+    types = view.latest_records(table(spark, d, "entities").select("id", "entity_type", "exported_at", "entity_row"))
+    return rewrite.typed_links(links, _names(spark, d), types)[0]
+
+
+@_query(f"""{_N}, n as (select r.entity_id, case when r.relation_type in ('applies', 'cites', 'supports', 'amends') then r.relation_type else 'related_to' end as relation_type,
+         coalesce(r.resolved_id, trim(r.target_id)) as target_id, coalesce(trim(r.note), '') as note,
+         case when coalesce(trim(x.effective_on), '') not in ('', '9999-12-31', '1900-01-01') then trim(x.effective_on) end as effective_on, r.relation_row, r.resolved_id is not null as resolved
+       from resolved r join relations x using (relation_row) where trim(coalesce(r.target_id, '')) <> '' and coalesce(r.relation_type, '') <> 'conflicts_with')
+       select min(relation_row) as relation_row, entity_id, relation_type, target_id, note, effective_on, bool_or(resolved) as resolved from n group by 2, 3, 4, 5, 6""")
+def nested_relations(spark, d):
+    return rewrite.normalised_relations(table(spark, d, "relations"), _names(spark, d), ("applies", "cites", "supports", "amends"))
+
+
+@_query(f"""{_N} select min(relation_row) as relation_row, entity_id, 'conflict:' || left(trim(regexp_replace(lower(entity_id || '-' || target_id), '[^a-z0-9-]+', '-', 'g'), '-'), 80) as conflict_id,
+         'pending' as status, target_id, arg_min(coalesce(trim(note), ''), relation_row) as note from (
+       select *, coalesce(resolved_id, trim(r.target_id)) as t from resolved r where relation_type = 'overrules' and trim(coalesce(r.target_id, '')) <> '') q(
+         relation_row, entity_id, relation_type, ordinal, ref, note, n_matches, resolved_id, target_id) group by 2, 3, 5""")
+def conflict_rewrite(spark, d):
+    """Relations that overrule, as conflict records of their own."""
+    return rewrite.stated_conflicts(table(spark, d, "relations"), _names(spark, d), relation="overrules")
+
+
+@_query("""with e as (select evidence_row, entity_id, coalesce(trim(evidence_id), '') as id, source_id, locator,
+         row_number() over (partition by entity_id order by evidence_row) - 1 as n from evidence where entity_id is not null),
+       f as (select *, min(evidence_row) over (partition by entity_id, id) as first from e)
+       select evidence_row, entity_id, case when id = '' then 'evidence:' || left(trim(regexp_replace(lower(entity_id || '-' || n), '[^a-z0-9-]+', '-', 'g'), '-'), 80) when evidence_row = first then id
+         else rtrim(left(id, 78), '-') || '-' || left(sha256(entity_id || chr(0) || n || chr(0) || coalesce(source_id, 'None') || chr(0) || coalesce(locator, 'None')), 10) end as unique_id from f""")
+def evidence_ids(spark, d):
+    return rewrite.unique_evidence(table(spark, d, "evidence")).select("evidence_row", "entity_id", "unique_id")
+
+
+@_query(f"""{_L}, r as (select f.id, f.entity_type, f.status, f.ingestion_status, {_date("f.last_verified")} as day,
+         exists (select 1 from (select unnest(l.verification.verifier_ids) as v) where v in (select verifier_id from verifiers)) as who,
+         len(list_filter(coalesce(l.verification.methods, []), lambda m: trim(m) in ('official_source_review', 'source_cross_check', 'citation_trace'))) > 0 as way,
+         exists (select 1 from evidence e where e.entity_id = f.id) as what from flat f join latest l on l.id = f.id),
+       s as (select *, (status = 'verified' or ingestion_status = 'verified') and not (day is not null and who and way and (entity_type not in ('case', 'law', 'interpretation') or what)) as down from r)
+       select id, case when down or status not in ('draft', 'review', 'verified') then 'review' else status end as editorial_status,
+         case when down or ingestion_status not in ('imported', 'extracted', 'linked', 'verified') then 'linked' else ingestion_status end as ingestion_status, down as downgraded from s""")
+def verified_downgrades(spark, d):
+    latest = view.latest_records(table(spark, d, "entities").select("id", "verification", "exported_at", "entity_row"))
+    own = latest.select("id", "verification.verifier_ids", "verification.methods")
+    records = lookup_join(_flat(spark, d).select("id", "entity_type", "status", "ingestion_status", "last_verified"), own, ["id"], ["id"])
+    return rewrite.verified_states(records, table(spark, d, "evidence"), table(spark, d, "verifiers"), ("official_source_review", "source_cross_check", "citation_trace"))
+
+
+_PEOPLE = {"렉소린": "lexorin", "위즈린트": "wagelint", "쿼럼킷": "quorumkit", "lexorin-bot": "lexorin"}
+
+
+@_query()
+def verification_plan(spark, d):
+    """What adding structured verification would change, by outcome; names known exactly only."""
+    known = tuple(sorted(set(_PEOPLE.values())))
+    plan = rewrite.verification_plan(table(spark, d, "entities").select("entity_row", "verified_by", "verification"), _PEOPLE, known)
+    return plan.groupBy("changed", "conflict", (F.size("unknown") > 0).alias("has_unknown")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
 # --- what must hold of results that SQL cannot compute -------------------------------------
 
 

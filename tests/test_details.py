@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import markup
-from tessera.operators import checks, claims, graph, quality, record_rules, search, temporal, view
+from tessera.operators import checks, claims, graph, quality, record_rules, resolve, rewrite, search, temporal, view
 
 PAGES = "page string, part int, title string, body string"
 
@@ -171,3 +171,56 @@ def test_section_chunks_and_orders(spark):
     with pytest.raises(ValueError):
         view.record_order("other", [])
     assert markup.summary("# h\n\nbody text", None, " ", "**Held** so.") == "Held so." and markup.summary("# h\n\nbody text", "") == "body text"
+
+
+def test_relations_and_conflicts_in_the_nested_form(spark):
+    records = spark.createDataFrame([("a", "case", "Alpha"), ("b", "rule", "Beta"), ("c", "law", "Same"), ("d", "law", "Same")], "id string, entity_type string, title string")
+    names = resolve.name_table(records, "id", ["id", "title"], [])
+    rows = [
+        (1, "a", "supports", "Beta", " n ", "9999-12-31"), (2, "a", "supports", "b", "n", None), (3, "a", "odd", "b", None, "2020-01-01"), (4, "a", "conflicts_with", "b", "why", None),
+        (5, "a", "conflicts_with", "Beta", "again", None), (6, "a", "cites", " ", None, None), (7, "a", "related", "Same", None, ""), (8, None, "cites", None, None, None), (9, "b", "conflicts_with", "가 나", None, None),
+    ]
+    df = spark.createDataFrame(rows, "relation_row int, entity_id string, relation_type string, target_id string, note string, effective_on string")
+    got = sorted(tuple(r) for r in rewrite.normalised_relations(df, names, ("supports", "cites")).collect())
+    assert got == [
+        (1, "a", "supports", "b", "n", None, True), (3, "a", "related_to", "b", "", "2020-01-01", True), (7, "a", "related_to", "Same", "", None, False),
+    ]
+    found = sorted(tuple(r) for r in rewrite.stated_conflicts(df, names).collect())
+    assert found == [(4, "a", "conflict:a-b", "pending", "b", "why"), (9, "b", "conflict:b", "pending", "가 나", "")]
+    links = spark.createDataFrame([(1, "a", "Beta"), (2, "a", "b"), (3, "b", "a"), (4, "a", "Same"), (5, "a", ""), (6, "z", "b")], "row int, entity_id string, target string")
+    made, lost = rewrite.typed_links(links, names, records)
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "a", "supports", "b"), (3, "b", "cites", "a"), (6, "z", "cites", "b")]
+    assert [tuple(r) for r in lost.collect()] == [(4, "a", "Same")]
+    assert rewrite.normalised_relations(df.limit(0), names, ()).count() == 0
+
+
+def test_unique_evidence_is_idempotent(spark):
+    rows = [(1, "e", "x", "s", "l"), (2, "e", "x", "s", "l"), (3, "e", "", None, None), (4, "f", "x", "s", "l"), (5, "e", "x", None, "l"), (6, None, "x", "s", "l"), (7, "e", "y" * 100, "s", ""), (8, "e", "y" * 100, "s", "")]
+    df = spark.createDataFrame(rows, "evidence_row int, entity_id string, evidence_id string, source_id string, locator string")
+    once = {r.evidence_row: r.unique_id for r in rewrite.unique_evidence(df).collect()}
+    digest = lambda *p: hashlib.sha256("\0".join(p).encode()).hexdigest()[:10]
+    assert once == {
+        1: "x", 2: "x-" + digest("e", "1", "s", "l"), 3: "evidence:e-2", 4: "x", 5: "x-" + digest("e", "3", "None", "l"), 7: "y" * 100, 8: "y" * 78 + "-" + digest("e", "5", "s", ""),
+    }
+    again = df.drop("evidence_id").join(spark.createDataFrame(list(once.items()), "evidence_row int, evidence_id string"), "evidence_row")
+    assert {r.evidence_row: r.unique_id for r in rewrite.unique_evidence(again).collect()} == once
+
+
+def test_verified_states_and_verification_plan(spark):
+    schema = "id string, entity_type string, status string, ingestion_status string, last_verified string, verifier_ids array<string>, methods array<string>"
+    rows = [
+        ("a", "case", "verified", "verified", "2020-01-01", ["v", "x"], ["m"]), ("b", "case", "verified", "linked", "2020-01-01", ["v"], ["m"]), ("c", "rule", "verified", "odd", "2020-01-01", ["v"], [" m"]),
+        ("d", "rule", "draft", "verified", None, ["v"], ["m"]), ("e", "rule", "odd", "linked", "", None, None), ("f", "rule", "verified", "linked", "2020-01-01", ["x"], ["m"]),
+    ]
+    evidence = spark.createDataFrame([("a",), ("a",), (None,)], "entity_id string")
+    got = {r.id: tuple(r)[1:] for r in rewrite.verified_states(spark.createDataFrame(rows, schema), evidence, spark.createDataFrame([("v",)], "verifier_id string"), ("m",)).collect()}
+    assert got == {
+        "a": ("verified", "verified", False), "b": ("review", "linked", True), "c": ("verified", "linked", False), "d": ("review", "linked", True), "e": ("review", "linked", False), "f": ("review", "linked", True),
+    }
+    plans = [
+        (1, ["Ann"], None), (2, ["Ann", "who"], None), (3, ["Ann"], ["v2"]), (4, ["Ann"], ["v1"]), (5, ["v1"], []), (6, ["v1", "Ann"], ["v1"]), (7, None, ["v1"]), (8, [" ", None], None),
+    ]
+    df = spark.createDataFrame([(k, v, (i,)) for k, v, i in plans], "row int, verified_by array<string>, verification struct<verifier_ids:array<string>>")
+    out = {r.row: (r.changed, r.conflict, r.unknown) for r in rewrite.verification_plan(df, {"Ann": "v1"}, ("v1", "v2")).collect()}
+    assert out[1] == (True, False, []) and out[2] == (False, False, ["who"]) and out[3] == (False, True, []) and out[4] == (False, False, [])
+    assert out[7] == (False, False, []) and out[8] == (False, False, []) and out[6] == (False, False, [])
