@@ -39,6 +39,20 @@ def p3_members(spark: SparkSession, d: str) -> DataFrame:
     return names.look_members(names.with_form(_names(spark, d), "value"))
 
 
+def p3_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Forms that are not their own form, and pairs of rows that are in no common class: none of either."""
+    once = names.with_form(_names(spark, d), "value")
+    again = names.with_form(once.where("form is not null").select(F.col("form").alias("value")), "value", "form")
+    pairs = names.look_alike_pairs(once)
+    members = names.look_members(once)
+    a = members.select("field", F.col("key").alias("key_a"), F.col("class").alias("class"))
+    b = members.select("field", F.col("key").alias("key_b"), F.col("class").alias("class"))
+    together = pairs.join(a, ["field", "key_a"]).join(b, ["field", "key_b", "class"], "left_semi").select("field", "key_a", "key_b").distinct()
+    told = again.agg(F.count_if(F.col("form") != F.col("value")).alias("n_unstable"), F.lit(0).cast("bigint").alias("n_apart"))
+    apart = pairs.join(together, ["field", "key_a", "key_b"], "left_anti").agg(F.lit(0).cast("bigint").alias("n_unstable"), F.count(F.lit(1)).alias("n_apart"))
+    return told.unionByName(apart).agg(F.sum("n_unstable").alias("n_unstable"), F.sum("n_apart").alias("n_apart"))
+
+
 _ENTRY_FIELDS = {
     "verified_by": ("verified_by", "verifier"),
     "verifier_ids": ("verification.verifier_ids", "verifier"),
@@ -98,6 +112,22 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p5_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Sections, and faults of their pieces: too long, not sharing the overlap, or not making up the content again."""
+    chunks = table(spark, d, "chunks").select("chunk_row", "content")
+    made = _pieces(spark, d).select("chunk_row", "piece_no", "n_pieces", "piece")
+    body = F.when(F.col("piece_no") == 0, F.col("piece")).otherwise(F.substring("piece", splitting.OVERLAP + 1, splitting.LIMIT))
+    by = made.groupBy("chunk_row").agg(  # the pieces of one section
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", body.alias("body")))), lambda x: x["body"]), "").alias("whole"),
+        F.max(F.length("piece")).alias("longest"), F.count(F.lit(1)).alias("n"), F.max("n_pieces").alias("n_pieces"),
+    )
+    both = chunks.join(by, "chunk_row", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_sections"), F.count_if(F.col("longest") > splitting.LIMIT).alias("n_too_long"),
+        F.count_if((F.col("n") != F.col("n_pieces")) | ~F.coalesce(F.col("whole") == F.col("content"), F.coalesce(F.col("content"), F.lit("")) == "")).alias("n_not_whole"),
+    )
+
+
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -169,16 +199,31 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
+def p9_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of the segments: outside their text, one upon another, not numbered through, of no known language or confidence."""
+    size = table(spark, d, "documents").select("doc_id", F.length("text").alias("size"))
+    by = _segments(spark, d).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("segment_no", "seg_start", "seg_stop"))).alias("s"),  # the segments of one document
+        F.count_if(~F.col("lang_code").isin(*language.LANGUAGES) | ~F.col("confidence").between(0, 1)).alias("n_odd"),
+    )
+    n = F.size("s")
+    pairs = F.transform(F.sequence(F.lit(1), n), lambda i: (F.element_at("s", i)["segment_no"] == i - 1) & (F.element_at("s", i)["seg_stop"] > F.element_at("s", i)["seg_start"]) & ((i == n) | (F.element_at("s", F.least(i + 1, n))["seg_start"] >= F.element_at("s", i)["seg_stop"])))
+    right = F.forall(pairs, lambda p: p) & (F.element_at("s", 1)["seg_start"] >= 0) & (F.element_at("s", n)["seg_stop"] <= F.col("size"))
+    return by.join(size, "doc_id").agg(F.coalesce(F.sum("n_odd"), F.lit(0)).alias("n_odd"), F.count_if(~right).alias("n_misplaced"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_names": p3_names,
     "p3_groups": p3_groups,
     "p3_members": p3_members,
+    "p3_sound": p3_sound,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
     "p4_ways": p4_ways,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_sound": p5_sound,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
     "p7_program": p7_program,
@@ -189,9 +234,13 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_documents": p9_documents,
     "p9_segments": p9_segments,
+    "p9_sound": p9_sound,
 }
 
 SQL = {
+    "p3_sound": "select 0 as n_unstable, 0 as n_apart",
+    "p5_sound": "select count(*) as n_sections, 0 as n_too_long, 0 as n_not_whole from chunks",
+    "p9_sound": "select 0 as n_odd, 0 as n_misplaced",
     "p7_sound": "select count(*) as n_texts, 0 as n_wrong, 0 as n_overfull from documents where length(text) > 0",
     "p5_found": "select chunk_row from chunks where length(content) > 1200",
 }
