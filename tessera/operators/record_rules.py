@@ -205,17 +205,29 @@ def temporal_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def verification_rules(entities: DataFrame, verifiers: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Verifier ids, methods and dates of the verification of records."""
+    """Verifier ids, methods, note and dates of the verification of records.
+
+    A date, a method or a note wants a verifier, a date or a verifier wants a
+    method, and a cross check wants a note.  A verification without a field
+    ``note`` has no note.
+    """
     ids, methods = "verification.verifier_ids", "verification.methods"
     dated = scalar_text("verification.verified_on") != ""
+    some_in = lambda c: F.coalesce(F.exists(c, lambda x: F.trim(x) != ""), F.lit(False))
+    with_note = "note" in entities.schema["verification"].dataType.names
+    noted = scalar_text("verification.note") != "" if with_note else F.lit(False)
+    crossed = F.coalesce(F.array_contains(methods, "source_cross_check"), F.lit(False))
+    odd = F.filter(ids, lambda v: (F.trim(v) != "") & ~v.rlike(r"^[a-z][a-z0-9-]{0,63}\z"))
     rows = row_rules(entities, "entities", "entity_row", [
         ("medium", "VERIFIER_ID_DUPLICATE", "verifier_ids", _repeats_in(ids), F.lit("repeated verifier")),
         ("medium", "VERIFICATION_METHOD_DUPLICATE", "methods", _repeats_in(methods), F.lit("repeated method")),
         ("high", "VERIFIER_IDS_TYPE", "verifier_ids", _blank_in(ids), F.lit("blank verifier")),
         ("high", "VERIFICATION_METHODS_TYPE", "methods", _blank_in(methods), F.lit("blank method")),
         ("high", "VERIFICATION_DATE_INVALID", "verified_on", _bad_date("verification.verified_on"), F.col("verification.verified_on")),
-        ("high", "VERIFICATION_VERIFIER_MISSING", "verifier_ids", dated & _none_in(ids), F.lit("no verifier")),
-        ("high", "VERIFICATION_METHOD_MISSING", "methods", dated & _none_in(methods), F.lit("no method")),
+        ("high", "VERIFIER_ID_INVALID", "verifier_ids", F.size(odd) > 0, F.array_join(odd, ", ")),
+        ("high", "VERIFICATION_VERIFIER_MISSING", "verifier_ids", (dated & _none_in(ids)) | ((some_in(methods) | noted) & ~some_in(ids)), F.lit("no verifier")),
+        ("high", "VERIFICATION_METHOD_MISSING", "methods", (dated & _none_in(methods)) | (some_in(ids) & ~some_in(methods)), F.lit("no method")),
+        ("high", "VERIFICATION_NOTE_MISSING", "note", crossed & ~noted, F.lit("a cross check without a note")),
     ])
     path = F.concat(F.lit("entities/"), F.col("entity_row").cast("string"))
 

@@ -483,9 +483,26 @@ def additive_score(terms: list[str], title: Column, aliases: Column, summary: Co
     return F.when(every, reduce(lambda a, b: a + b, [points(t) for t in terms])).otherwise(-1)
 
 
-def page(df: DataFrame, number: int, size: int, order: list) -> DataFrame:
-    """One page of an ordered result; a page beyond the last is the last, one before the first the first."""
+def page(df: DataFrame, number: int, size: int, order: list, deep: int = 100_000) -> DataFrame:
+    """One page of an ordered result; a page beyond the last is the last, one before the first the first.
+
+    Pages that begin behind the first ``deep`` rows are not reached by sorting
+    all rows before them into one task: rows are range-partitioned over the
+    order, counted per partition, and only the partitions of the page sorted.
+    """
     total = df.count()
     last = max(1, -(-total // size))
     number = min(max(1, number), last)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    start = (number - 1) * size
+    if start < deep:
+        return df.orderBy(*order).offset(start).limit(size)
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = cut_lineage(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    counts = sorted((r["__part"], r["n"]) for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, wanted, skipped = 0, [], 0
+    for part, n in counts:  # one entry per partition
+        if before < start + size and before + n > start:
+            skipped = before if not wanted else skipped
+            wanted.append(part)
+        before += n
+    return placed.where(F.col("__part").isin(*wanted)).drop("__part").orderBy(*order).offset(start - skipped).limit(size)

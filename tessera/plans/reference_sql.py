@@ -140,6 +140,13 @@ def _none(c: str) -> str:
     return f"coalesce(len({c}), 0) = 0"
 
 
+def _some(c: str) -> str:
+    return f"coalesce(len(list_filter({c}, lambda x: trim(x) <> '')) > 0, false)"
+
+
+_ODD_IDS = "list_filter(verification.verifier_ids, lambda v: trim(v) <> '' and not regexp_full_match(v, '[a-z][a-z0-9-]{0,63}'))"
+
+
 def _blank(c: str) -> str:
     return f"len(list_filter({c}, lambda x: x is null or trim(x) = '')) > 0"
 
@@ -264,8 +271,12 @@ _FAMILIES = {
             ("high", "VERIFIER_IDS_TYPE", "verifier_ids", _blank("verification.verifier_ids"), "'blank verifier'"),
             ("high", "VERIFICATION_METHODS_TYPE", "methods", _blank("verification.methods"), "'blank method'"),
             ("high", "VERIFICATION_DATE_INVALID", "verified_on", _bad("verification.verified_on"), "verification.verified_on"),
-            ("high", "VERIFICATION_VERIFIER_MISSING", "verifier_ids", f"not ({_e('verification.verified_on')}) and {_none('verification.verifier_ids')}", "'no verifier'"),
-            ("high", "VERIFICATION_METHOD_MISSING", "methods", f"not ({_e('verification.verified_on')}) and {_none('verification.methods')}", "'no method'"),
+            ("high", "VERIFIER_ID_INVALID", "verifier_ids", f"len({_ODD_IDS}) > 0", f"array_to_string({_ODD_IDS}, ', ')"),
+            ("high", "VERIFICATION_VERIFIER_MISSING", "verifier_ids", f"(not ({_e('verification.verified_on')}) and {_none('verification.verifier_ids')}) or "
+             f"(({_some('verification.methods')} or not ({_e('verification.note')})) and not {_some('verification.verifier_ids')})", "'no verifier'"),
+            ("high", "VERIFICATION_METHOD_MISSING", "methods", f"(not ({_e('verification.verified_on')}) and {_none('verification.methods')}) or "
+             f"({_some('verification.verifier_ids')} and not {_some('verification.methods')})", "'no method'"),
+            ("high", "VERIFICATION_NOTE_MISSING", "note", f"coalesce(list_contains(verification.methods, 'source_cross_check'), false) and {_e('verification.note')}", "'a cross check without a note'"),
         ]),
         """select 'high', 'VERIFIER_UNKNOWN', 'entities/' || entity_row, 'verifier_ids', value from (select entity_row, unnest(verification.verifier_ids) as value from entities)
            where trim(coalesce(value, '')) <> '' and value not in (select verifier_id from verifiers)""",

@@ -338,7 +338,7 @@ def test_match_language_equals_sqlite(spark, tmp_path):
     fields = ["title", "heading", "content"]
     df = spark.createDataFrame(docs, "chunk_row int, title string, heading string, content string")
     queries = ["a b NOT c d", "a NOT c d", "a b NOT c", "a AND b NOT c", "a NOT b NOT c", "a NOT b AND c", "a OR b NOT c", "a (b)", "(a) b", "NEAR", "NEAR(a)", "a NOT", "NOT a"]
-    queries += [_query(rng) for _ in range(120)]
+    queries += [_query(rng) for _ in range(150)]
     good, want = [], {}
     for q in queries:
         try:
@@ -349,7 +349,7 @@ def test_match_language_equals_sqlite(spark, tmp_path):
         else:
             good.append(q)
     good = list(dict.fromkeys(good))
-    assert len(good) > 80
+    assert len(good) > 100
     tokens, columns = search.tokenised(df, fields)
     for k in range(0, len(good), 20):
         part = good[k : k + 20]
@@ -359,7 +359,7 @@ def test_match_language_equals_sqlite(spark, tmp_path):
             assert {r.chunk_row for r in rows if r[f"q{n}"]} == set(want[q]), q
     writers.write_postings(df, str(tmp_path / "index"), buckets=4)
     index = search.open_index(spark, str(tmp_path / "index"), buckets=4)
-    for q in good[:20]:
+    for q in good[:40]:
         found = {r.chunk_row: r.rank for r in search.search_index(index, q, {"title": 2.0, "heading": 1.0, "content": 1.0}).collect()}
         assert set(found) == set(want[q]), q
         if ":" not in q and "^" not in q and "NEAR" not in q and "NOT" not in q:
@@ -372,6 +372,12 @@ def test_search_helpers(spark):
     assert [r.id for r in search.page(df, 99, 10, ["title"]).collect()] == list(range(20, 25))
     assert [r.id for r in search.page(df, 0, 10, ["title"]).collect()] == list(range(10))
     assert search.page(df.limit(0), 3, 10, ["title"]).count() == 0
+    many = spark.range(5000).select((F.col("id") % 40).alias("a"), "id").repartition(7)
+    want = [tuple(r) for r in many.orderBy(F.desc("a"), "id").collect()]
+    for number in (1, 3, 200, 313, 999):
+        place = min(number, 313) - 1
+        got = [tuple(r) for r in search.page(many, number, 16, [F.desc("a"), "id"], deep=0).collect()]
+        assert got == want[place * 16 : place * 16 + 16], number
     lit = F.lit
     score = search.additive_score(["ab", "c"], lit("ab"), lit("x"), lit("c"), lit("no 1"), lit("ab c x"))
     none = search.additive_score(["zz"], lit("a"), lit(""), lit(""), lit(""), lit("a"))

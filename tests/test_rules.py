@@ -90,6 +90,12 @@ def test_periods_and_verification(spark):
         ("entities/2", "VERIFICATION_METHOD_MISSING"), ("entities/2", "VERIFICATION_VERIFIER_MISSING"), ("entities/3", "VERIFICATION_DATE_INVALID"),
         ("entities/3", "VERIFICATION_METHODS_TYPE"), ("entities/3", "VERIFICATION_METHOD_INVALID"), ("entities/3", "VERIFIER_ID_DUPLICATE"), ("entities/3", "VERIFIER_UNKNOWN"),
     ]
+    more = [(1, (None, ["v"], [], "")), (2, (None, [], ["m"], None)), (3, (None, None, None, "n")), (4, (None, ["V x"], ["source_cross_check"], " ")), (5, (None, [" "], None, ""))]
+    e = spark.createDataFrame(more, "entity_row int, verification struct<verified_on:string,verifier_ids:array<string>,methods:array<string>,note:string>")
+    assert codes(record_rules.verification_rules(e, people, vocab.union(spark.createDataFrame([("verification_method", "source_cross_check")], vocab.schema)))) == [
+        ("entities/1", "VERIFICATION_METHOD_MISSING"), ("entities/2", "VERIFICATION_VERIFIER_MISSING"), ("entities/3", "VERIFICATION_VERIFIER_MISSING"),
+        ("entities/4", "VERIFICATION_NOTE_MISSING"), ("entities/4", "VERIFIER_ID_INVALID"), ("entities/4", "VERIFIER_UNKNOWN"), ("entities/5", "VERIFIER_IDS_TYPE"),
+    ]
 
 
 def test_rewrites(spark, small):
