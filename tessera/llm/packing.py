@@ -166,7 +166,7 @@ def _longest_first(
     """Patterns filled with the longest that still fits, each used while its items last; ``left`` becomes 0."""
     out = []
     while left.any():
-        pattern = _filled({}, capacity, lengths, left)
+        pattern = _filled(capacity, lengths, left)
         times = min(int(left[k]) // n for k, n in pattern.items())
         out.append((pattern, times))
         for k, n in pattern.items():
@@ -174,7 +174,7 @@ def _longest_first(
     return out
 
 
-def _filled(pattern: dict[int, int], room: int, lengths: np.ndarray, left: np.ndarray) -> dict[int, int]:
+def _filled(room: int, lengths: np.ndarray, left: np.ndarray) -> dict[int, int]:
     """What fills the room by the longest left lengths that fit: index and copies."""
     added: dict[int, int] = {}
     open_ = np.flatnonzero(left)
@@ -200,30 +200,50 @@ class Packing:
         return sum(t for _, t in self.patterns)
 
 
+#: Parts of the fractional solution that the rounding tries, the whole first.
+PARTS = (1.0, 0.95, 0.9, 0.8, 0.6, 0.4, 0.2)
+
+
 def integral_patterns(
     lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS
 ) -> Packing:
     """Patterns (length index: copies) and whole counts that hold every item exactly once.
 
-    The linear program's patterns, most used first, are taken as often as
-    their count rounded up allows and the items last.  What they leave goes
-    longest first.  Only if longest first alone needs fewer containers is its
-    packing taken instead, so the result is never worse than that.
+    The linear program's patterns are rounded (see :func:`_rounded`), at first
+    its whole solution and then smaller parts of it, until no more containers
+    are needed than longest first alone needs; the first such part is taken.
+    Only if every part needs more is longest first's packing
+    taken, with no container from the program.
     """
     program = fractional_patterns(lengths, counts, capacity, gap, rounds)
+    plain = _longest_first(lengths, counts.astype(np.int64).copy(), capacity)
+    best = Packing(plain, 0, program)
+    most = best.containers
+    for part in PARTS:
+        ours = _rounded(lengths, counts, capacity, program, part)
+        if ours.containers <= most:
+            return ours
+    return best
+
+
+def _rounded(lengths: np.ndarray, counts: np.ndarray, capacity: int, program: Fractional, part: float) -> Packing:
+    """A part of the fractional solution in whole containers, and the rest longest first.
+
+    Patterns, most used first, are taken as often as that part of their count
+    rounded up allows and the items last.  Room that they leave takes what is
+    left before new containers do.
+    """
     left, out = counts.astype(np.int64).copy(), []
     for pattern, x in sorted(program.patterns, key=lambda p: -p[1]):
-        times = min(math.ceil(x - 1e-9), *(int(left[k]) // n for k, n in pattern.items()))
+        times = min(math.ceil(x * part - 1e-9), *(int(left[k]) // n for k, n in pattern.items()))
         if times > 0:
             out.append((pattern, times))
             for k, n in pattern.items():
                 left[k] -= n * times
-    ours = Packing(out, sum(t for _, t in out), program)
-    # Room that a pattern leaves takes what is left before new containers do.
-    fuller = []
+    taken, fuller = sum(t for _, t in out), []
     for pattern, times in out:
         room = capacity - sum(int(lengths[k]) * n for k, n in pattern.items())
-        while times and (added := _filled(pattern, room, lengths, left) if room else {}):
+        while times and (added := _filled(room, lengths, left) if room else {}):
             n = min(times, *(int(left[k]) // c for k, c in added.items()))
             fuller.append((dict(Counter(pattern) + Counter(added)), n))
             for k, c in added.items():
@@ -231,9 +251,7 @@ def integral_patterns(
             times -= n
         if times:
             fuller.append((pattern, times))
-    ours.patterns = fuller + _longest_first(lengths, left, capacity)
-    plain = _longest_first(lengths, counts.astype(np.int64).copy(), capacity)
-    return ours if ours.containers <= sum(t for _, t in plain) else Packing(plain, 0, program)
+    return Packing(fuller + _longest_first(lengths, left, capacity), taken, program)
 
 
 def _pieces(items: DataFrame, row: str, size: str, capacity: int) -> DataFrame:
